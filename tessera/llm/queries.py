@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, token_counts
+from tessera.llm import bpe, chat, language_id, token_counts, toxicity
 from tessera.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.contract(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -28,6 +36,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": chat.op2,
         "op3_bpe_tree": op3,
+        "op4_toxicity_fm": op4,
+        "op5_language_kn": op5,
         "op8_token_counts": op8,
     }
 
