@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, language_id, token_counts, toxicity
+from tessera.llm import bpe, chat, jaccard_join, language_id, token_counts, toxicity
 from tessera.llm.common import table
 
 
@@ -38,9 +38,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_tree": op3,
         "op4_toxicity_fm": op4,
         "op5_language_kn": op5,
+        "op10_jaccard_join": jaccard_join.op10,
         "op8_token_counts": op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
