@@ -23,6 +23,7 @@ import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,23 @@ class ByteBPE:
         self.tok = Tokenizer.from_file(path)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.memory: dict[str, bytes] = {}
+        self.core = self.ranked(vocab)
+
+    def ranked(self, vocab: dict[str, int]):
+        """The rank-merging encoder of the same vocabulary, or None where it isn't proven equal.
+
+        It merges any two neighbours whose bytes are a token, lowest id first. That is the same as following the list
+        of merges if ids rise with their ranks and each token's own bytes encode to that token: inside a span whose
+        borders are token borders the merges are those of the span alone, which ends in that token by its listed pair."""
+        import tiktoken
+
+        ids = [new for _, new in sorted(self.merge.values())]
+        if ids != sorted(ids) or len(set(ids)) != len(ids) or (ids and max(self.byte_id) > ids[0]):
+            return None
+        if any(self.merged(self.bytes_of[i]) != [i] for i in ids):
+            return None
+        ranks = {self.bytes_of[i]: i for i in [*self.byte_id, *ids]}
+        return tiktoken._tiktoken.CoreBPE(ranks, {}, PATTERN)
 
     def merged(self, raw: bytes) -> list[int]:
         """BPE of bytes that are not split: always the merge of lowest rank, leftmost first."""
@@ -120,8 +138,14 @@ class ByteBPE:
         if not new:
             return
         short = [p for p in new if len(p) <= LONG]
-        for p, e in zip(short, self.tok.encode_batch(short, add_special_tokens=False)):
-            self.memory[p] = np.asarray(e.ids, np.int32).tobytes()
+        if self.core:
+            one = self.core.encode_single_piece
+            for p in short:
+                ids = one(p.encode("utf-8", "surrogatepass"))
+                self.memory[p] = pack(f"{len(ids)}i", *ids)
+        else:
+            for p, e in zip(short, self.tok.encode_batch(short, add_special_tokens=False)):
+                self.memory[p] = pack(f"{len(e.ids)}i", *e.ids)
         for p in new:
             if len(p) > LONG:
                 self.memory[p] = np.asarray(self.tree(p.encode("utf-8", "surrogatepass")), np.int32).tobytes()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, jaccard_join, language_id, token_counts, toxicity
+from tessera.llm import bpe, chat, embedding_dedup, jaccard_join, language_id, token_counts, toxicity
 from tessera.llm.common import table
 
 
@@ -34,6 +34,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1,
         "op2_chat_format": chat.op2,
         "op3_bpe_tree": op3,
         "op4_toxicity_fm": op4,
@@ -44,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
+    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
