@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, language_id, token_counts, toxicity, warc
+from tessera.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, katz, language_id, token_counts, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity_fm": op4,
         "op5_language_kn": op5,
         "op10_jaccard_join": jaccard_join.op10,
+        "op6_katz_scores": katz.op6,
         "op7_warc_derivatives": warc.op7,
         "op9_decontamination": decontamination.op9,
         "op8_token_counts": op8,
