@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table, written
+from tessera.llm.common import fresh, table, written
 from tessera.llm.graph import components
 
 SHINGLE, PERCENT = 5, 90
@@ -233,18 +233,23 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     return written(found.filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "similar"), classes
 
 
-def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, n_shingles, n_similar, component_id, class_size) of all rows of df."""
-    sets = written(sets_of(df, id_col, text_col, k), "sets")
+def component_facts(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, similar, component, root, copies) of each class: links of one of its documents, the smallest id and a name of its component."""
     links, _ = links_of(sets, percent)
     classes = sets.filter("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     both = links.union(links.select("b", "a"))
     linked = both.join(classes.select(F.col("key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("others"))
-    labels = components(links).select(F.col("v").alias("key"), "label")
+    labels = components(links).select(F.col("v").alias("key"), F.col("label").alias("root"))
     firsts = labels.join(classes.select("key", "first"), "key")
-    least = firsts.groupBy("label").agg(F.min("first").alias("component"))
-    linked = linked.join(labels, "key").join(least, "label").select("key", "others", "component")
-    facts = classes.join(linked, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("similar"), F.coalesce("component", "first").alias("component"), "copies")
+    least = firsts.groupBy("root").agg(F.min("first").alias("component"))
+    linked = linked.join(labels, "key").join(least, "root").select("key", "others", "component", "root")
+    return classes.join(linked, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("similar"), F.coalesce("component", "first").alias("component"), F.coalesce("root", "key").alias("root"), "copies")
+
+
+def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """Rows (doc_id, n_shingles, n_similar, component_id, class_size) of all rows of df."""
+    sets = written(sets_of(df, id_col, text_col, k), "sets")
+    facts = component_facts(sets, percent)
     return sets.select("doc_id", "key", "n").join(facts, "key", "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
@@ -254,6 +259,38 @@ def joined(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     )
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """One row of each component of df, with its columns: that of the smallest id (one without an id only where no other has
+    one; of rows with one id that of the smallest key, then any, as their sets are equal). Rows without words all stay.
+
+    Texts aren't shuffled: what goes is filtered out by its id, broadcast up to BROADCAST_ROWS; only rows whose id is null
+    or not unique are told apart by their sets again."""
+    sets = written(sets_of(df, id_col, text_col, k), "sets")
+    facts = written(component_facts(sets, percent).select("key", "root"), "components")
+    rows = sets.filter("key is not null").select("doc_id", "key").join(facts, "key")
+    stays = written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")).select("x.doc_id", "x.key"), "stays")
+    many = sets.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    twice = written(many.filter("n > 1").select("doc_id"), "twice")
+    goes = written(many.filter("n = 1 and key is not null").join(stays.select("doc_id"), "doc_id", "left_anti").select("doc_id").union(twice), "goes")
+    cheap = goes.count() <= BROADCAST_ROWS
+    (i, key) = fresh(df, "row_id", "row_key")
+    ids = goes.select(F.col("doc_id").alias(i))
+    clear = df.filter(F.col(id_col).isNotNull()).join(F.broadcast(ids) if cheap else ids, df[id_col] == F.col(i), "left_anti")
+    few = twice.count() <= BROADCAST_ROWS
+    named = twice.select(F.col("doc_id").alias(i))
+    odd = df.filter(F.col(id_col).isNotNull()).join(F.broadcast(named) if few else named, df[id_col] == F.col(i), "left_semi").unionByName(df.filter(F.col(id_col).isNull()))
+
+    @F.pandas_udf(T.BinaryType())
+    def key_of(text: pd.Series) -> pd.Series:
+        maker = Shingles(k)
+        return pd.Series([xxhash.xxh3_128_digest(s.tobytes()) if len(s := maker.of(t or "")) else None for t in text])
+
+    keyed = odd.withColumn(key, key_of(F.col(text_col)))
+    chosen = stays.select(F.col("doc_id").alias(i), F.col("key").alias("key_"))
+    one = keyed.filter(F.col(key).isNotNull()).dropDuplicates([id_col, key]).join(chosen, keyed[id_col].eqNullSafe(F.col(i)) & (keyed[key] == F.col("key_")), "left_semi")
+    return clear.unionByName(one.select(*df.columns)).unionByName(keyed.filter(F.col(key).isNull()).select(*df.columns))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
 
