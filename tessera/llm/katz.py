@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_mod, table, written
 
 K = 7
-BLOCK_TOKENS, PARTITION_KEYS = 4_000_000, 3_000_000
+BLOCK_TOKENS, PARTITION_KEYS = 2_000_000, 2_000_000
 CACHED = 400_000
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b"\r", b"\n"))  # no word holds white space
 
