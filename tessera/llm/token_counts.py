@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048
 CHUNK_CHARS, OVERLAP = 32_768, 512
-CACHED = 300_000
+CACHED = 150_000
 SPACE = frozenset(" \t\n\r\x0b\x0c")
 
 
@@ -136,8 +136,10 @@ def counted(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.count(t) for t in b.column(2).to_pylist()], pa.int64())], ["id", "n_bytes", "n_tokens"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.count(t) for t in b.column(2).to_pylist()], pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
