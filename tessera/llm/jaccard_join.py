@@ -14,7 +14,8 @@ copies. The Jaccard distance 1 - J is a metric; classes link at a distance of at
    and to the following bands that the window of theta reaches, by the triangle inequality; bands that stay large are split
    in turn.
 3. Within a region sets meet by size (a step of a logarithmic scale and the next), and what sizes and the places of the
-   shared shingle allow becomes a candidate. Candidates from all regions, each once, are verified exactly on their sets.
+   shared shingle allow becomes a candidate. Candidates from all regions, each once, are verified exactly, by the
+   differences of their sets to a pivot that they have in common.
 
 Defined cases: null or empty text, or one of white space only: an empty set, n_shingles 0, linked with nothing, its
 component is its own doc_id. Repeated rows, also with one doc_id, are documents of their own. A null doc_id gives its row;
@@ -41,7 +42,9 @@ HOT, HOT_LOCAL = 500_000, 3
 REGION, DEPTH = 256, 4
 #: Most class keys in a table that is broadcast for filtering sets (32 MB); larger tables are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-CACHED = 400_000
+CACHED = 200_000
+#: Parts of all shingles in a set's profile.
+PROFILE = 128
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -111,7 +114,8 @@ def hot_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def windows(sets: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """(key, n, window): the first shingles of each set in the order, to whose regions it goes."""
+    """(key, n, window, profile): the first shingles of each set in the order, to whose regions it goes, and how many of its
+    shingles lie in each of PROFILE parts of all shingles."""
     spark = sets.sparkSession
     order = np.argsort(hot)
     shared = spark.sparkContext.broadcast((hot[order], order.astype(np.int64)))  # at most HOT numbers
@@ -124,17 +128,18 @@ def windows(sets: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
             flat = np.frombuffer(b"".join(raw), np.uint64)
             at = np.minimum(np.searchsorted(names, flat), max(0, len(names) - 1))
             place = np.where(names[at] == flat, rank[at] + 1, 0) if len(names) else np.zeros(len(flat), np.int64)
-            cuts, out = np.concatenate([[0], np.cumsum(n)]), []
+            cuts, out, profiles = np.concatenate([[0], np.cumsum(n)]), [], []
             for i, size in enumerate(n):
                 s, p = flat[cuts[i] : cuts[i + 1]], place[cuts[i] : cuts[i + 1]]
                 take = int(size - needed(size, percent) + 1)
+                profiles.append(np.minimum(np.bincount((s % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE), 65535).astype(np.uint16).tobytes())
                 if p.any():
                     s = s[np.argsort(p, kind="stable")]  # shingles of one rank stay ascending
                 out.append(s[:take].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.zeros(0, np.int64)])))], ["key", "n", "window"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))), pa.array(profiles, pa.binary())], ["key", "n", "window", "profile"])
 
-    return sets.select("key", "n", "hashes").filter("key is not null").mapInArrow(run, "key binary, n int, window array<long>")
+    return sets.select("key", "n", "hashes").filter("key is not null").mapInArrow(run, "key binary, n int, window array<long>, profile binary")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -160,6 +165,17 @@ def overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="int32")
 
 
+@F.pandas_udf(T.LongType())
+def gaps(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, PROFILE).astype(np.int64) for c in (a, b))
+    return pd.Series(np.abs(x - y).sum(1))
+
+
+@F.pandas_udf(T.BinaryType())
+def differences(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(a, b)])
+
+
 def kept_sets(sets: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, hashes) of the classes in keys, each once. Few keys are broadcast to filter the sets where they are read; beyond
     BROADCAST_ROWS both sides are shuffled."""
@@ -200,16 +216,10 @@ def split_regions(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def candidates(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, that may link: they share a region and their sizes and places in the order allow it."""
     rows = classes.select("key", "n", F.posexplode("window").alias("pos", "region"))
-    alone = rows.groupBy("region").agg(F.count("*").alias("m"), F.min(F.struct("key", "n", "pos")).alias("x"), F.max(F.struct("key", "n", "pos")).alias("y"))
-    # most regions hold one set, and of the rest most hold two, which the aggregate has both; only larger ones are read again
-    met = written(alone.filter("m > 1"), "crowded")
-    two = met.filter("m = 2").select(*[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("key", "n", "pos")])
-    small = F.col("n_x") <= F.col("n_y")
-    order = lambda c, low: F.when(small == low, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y"))
-    two = two.select(*[order(c, low).alias(f"{c}_{side}") for side, low in (("a", F.lit(True)), ("b", F.lit(False))) for c in ("key", "n", "pos")])
-    more = met.filter("m > 2").select("region")
-    few = more.count() <= BROADCAST_ROWS
-    inner = split_regions(written(rows.join(F.broadcast(more) if few else more, "region"), "members"), sets, percent)
+    # most regions hold one set: they are counted by their hashes alone, and only the others' sets are read again
+    crowded = written(rows.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1").select("region"), "crowded")
+    few = crowded.count() <= BROADCAST_ROWS
+    inner = split_regions(written(rows.join(F.broadcast(crowded) if few else crowded, "region"), "members"), sets, percent)
     # sizes that link lie within one step of this scale (a little wider than the threshold): a set meets its own step and the next
     inner = inner.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100.0) * 1.000001)))
     left = inner.select("region", F.explode(F.array("step", F.col("step") + 1)).alias("step"), *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos")])
@@ -218,19 +228,47 @@ def candidates(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
     most = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     ok = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (most >= least)
-    both = pairs.drop("region", "step").unionByName(two).filter(ok)
-    return both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    return pairs.filter(ok).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def links_of(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between classes, a < b, and the classes (key, n, window). sets: a written table of sets_of()."""
     hot = hot_shingles(sets)
-    classes = written(windows(sets, hot, percent).groupBy("key").agg(F.first("n").alias("n"), F.first("window").alias("window")), "classes")
-    pairs = written(candidates(classes, sets, percent), "candidates")
-    held = written(kept_sets(sets, pairs.select(F.col("a").alias("key")).union(pairs.select("b"))), "candidate-sets")
-    one, two = (held.select(F.col("key").alias(k), F.col("hashes").alias(f"h{k}"), (F.octet_length("hashes") / 8).cast("int").alias(f"n{k}")) for k in "ab")
-    found = pairs.join(one, "a").join(two, "b").withColumn("i", overlaps("ha", "hb"))
-    return written(found.filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "similar"), classes
+    classes = written(windows(sets, hot, percent).groupBy("key").agg(F.first("n").alias("n"), F.first("window").alias("window"), F.first("profile").alias("profile")), "classes")
+    pairs = written(possible(candidates(classes, sets, percent), classes, percent), "candidates")
+    return written(verified(pairs, sets, percent), "similar"), classes
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the distances of their sets to the empty one, part by part of all shingles, allow to link: in each part
+    the triangle inequality bounds the difference of the sets from below, and the parts' bounds add up."""
+    one, two = (classes.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("profile").alias(f"p{k}")) for k in "ab")
+    apart = gaps("pa", "pb")
+    met = pairs.join(one, "a").join(two, "b").withColumn("s", apart)
+    return met.filter((F.col("na") + F.col("nb") - F.col("s")) * 100 >= (F.col("na") + F.col("nb") + F.col("s")) * percent).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    Every component of candidates has a pivot, its smallest key, and each of its sets is written once as its symmetric difference
+    to the pivot, which for near copies is short. The difference of two sets is the difference of those two differences,
+    and its size is bounded by theirs (the triangle inequality), so that many pairs are ruled out or in before any is compared."""
+    named = components(pairs).select(F.col("v").alias("key"), F.col("label").alias("pivot"))
+    held = written(kept_sets(sets, named.select("key")), "candidate-sets")
+    to = held.select(F.col("key").alias("pivot"), F.col("hashes").alias("q"))
+    moved = written(held.join(named, "key").join(to, "pivot").select("key", (F.octet_length("hashes") / 8).cast("long").alias("n"), differences("hashes", "q").alias("d")), "differences")
+    size = lambda c: (F.octet_length(c) / 8).cast("long")
+    one, two = (moved.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), size("d").alias(f"m{k}")) for k in "ab")
+    # with an intersection i and a difference s of the sets: 2 i = n_a + n_b - s, and the union is i + s
+    link = lambda s: (F.col("na") + F.col("nb") - s) * 100 >= (F.col("na") + F.col("nb") + s) * percent
+    measured = pairs.join(one, "a").join(two, "b").filter(link(F.abs(F.col("ma") - F.col("mb"))))
+    sure = link(F.col("ma") + F.col("mb"))
+    open_ = measured.filter(~sure)
+    da, db = (moved.select(F.col("key").alias(k), F.col("d").alias(f"d{k}")) for k in "ab")
+    apart = F.col("ma") + F.col("mb") - 2 * overlaps("da", "db")
+    found = open_.join(da, "a").join(db, "b").withColumn("s", apart).filter(link(F.col("s")))
+    return measured.filter(sure).select("a", "b").unionByName(found.select("a", "b"))
 
 
 def component_facts(sets: DataFrame, percent: int) -> DataFrame:
