@@ -37,7 +37,7 @@ FIND = regex.compile(PATTERN).findall
 #: Places where the pre-tokenizer splits in any context: white space after something else, the end of letters or digits.
 BORDER = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 LONG = 256
-CACHED = 300_000
+CACHED = 150_000
 CHUNK_CHARS = 32_768
 
 
@@ -221,16 +221,18 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
         for batch in batches:
-            yield from rows(batch.column(0), (bpe.encode(t) for t in batch.column(1).to_pylist()), bpe)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield from rows(part.column(0), (bpe.encode(t) for t in part.column(1).to_pylist()), bpe)
 
     def rows(keys: pa.Array, encodings: Iterable[np.ndarray], bpe: ByteBPE) -> Iterator[pa.RecordBatch]:
-        """Batches of at most a few million tokens, whatever the length of texts."""
+        """Batches of some 300,000 tokens, whatever the length of texts."""
         start, held, texts, total = 0, [], [], 0
         for ids in encodings:
             held.append(ids)
             texts.append(bpe.decode(ids))
             total += len(ids)
-            if total > 1_000_000:
+            if total > 300_000:
                 yield packed(keys.slice(start, len(held)), held, texts)
                 start, held, texts, total = start + len(held), [], [], 0
         if held:
