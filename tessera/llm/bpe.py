@@ -22,7 +22,6 @@ import heapq
 import json
 import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -32,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import held, settle
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FIND = regex.compile(PATTERN).findall
 #: Places where the pre-tokenizer splits in any context: white space after something else, the end of letters or digits.
@@ -168,10 +169,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def worker_bpe(path: str) -> ByteBPE:
     os.environ["RAYON_NUM_THREADS"] = "1"
-    return ByteBPE(path)
+    return held(("bpe", path), lambda: ByteBPE(path))
 
 
 def chunks(text: str, size: int, special: Iterable[str] = ()) -> list[tuple[str, bool]]:
@@ -214,6 +214,7 @@ def inner_cut(text: str, at: int, goal: int, taken: list[tuple[int, int]]) -> tu
 
 def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Rows (id, ids array<int>, decoded string) of all rows of df: the token ids of the text, and the ids decoded again."""
+    settle(df.sparkSession)
     kind_of = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"id {kind_of}, ids array<int>, decoded string"
@@ -227,20 +228,20 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def rows(keys: pa.Array, encodings: Iterable[np.ndarray], bpe: ByteBPE) -> Iterator[pa.RecordBatch]:
         """Batches of some 300,000 tokens, whatever the length of texts."""
-        start, held, texts, total = 0, [], [], 0
+        start, found, texts, total = 0, [], [], 0
         for ids in encodings:
-            held.append(ids)
+            found.append(ids)
             texts.append(bpe.decode(ids))
             total += len(ids)
             if total > 300_000:
-                yield packed(keys.slice(start, len(held)), held, texts)
-                start, held, texts, total = start + len(held), [], [], 0
-        if held:
-            yield packed(keys.slice(start, len(held)), held, texts)
-
-    def packed(keys: pa.Array, held: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))
+                yield packed(keys.slice(start, len(found)), found, texts)
+                start, found, texts, total = start + len(found), [], [], 0
+        if found:
+            yield packed(keys.slice(start, len(found)), found, texts)
+
+    def packed(keys: pa.Array, found: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
         return pa.RecordBatch.from_arrays([keys, ids, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

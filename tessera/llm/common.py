@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def settle(spark: SparkSession) -> None:
+    """Batches to Python of few rows and bytes, where the session doesn't say: texts may be very long, and a batch of them lies in
+    memory on both sides."""
+    for key, few in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, few)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,9 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    """Texts with null as empty."""
-    return [t or "" for t in column.to_pylist()]
+_HELD: dict[tuple, Any] = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one thing at a time, so that workers that Spark uses again don't pile up models."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def crc_mod(column: str, n: int) -> str:

@@ -15,13 +15,12 @@ their rows each. Null ids give rows with null ids. Other columns are not read by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, table
+from tessera.llm.common import fresh, held, settle, table
 
 RATE, BLOCK_CHARS = 0.05, 2_000_000
 
@@ -138,14 +137,14 @@ class Finder:
         return out
 
 
-@lru_cache(2)
 def worker_finder(items: tuple, rate: float) -> Finder:
-    return Finder(list(items), rate)
+    return held(("finder", items, rate), lambda: Finder(list(items), rate))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (doc_id, item_id, start, end, distance): start and end are code points of the document's text."""
     spark = docs.sparkSession
+    settle(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter(F.trim("t") != "")
@@ -172,6 +171,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, name: str = "n_leaks") -> DataFrame:
     """docs with one more column: the number of matches of any item in the row's text (underscores are added while the name is taken)."""
     spark = docs.sparkSession
+    settle(spark)
     chosen = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter(F.trim("t") != "")
     blocks = max(1, -(-(chosen.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
     total = F.lit(0)

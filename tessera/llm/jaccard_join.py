@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh, table, written
+from tessera.llm.common import fresh, settle, table, written
 from tessera.llm.graph import components
 
 SHINGLE, PERCENT = 5, 90
-#: Shingles that come last in the order: those counted most often, and how often in one batch of rows counts.
-HOT, HOT_LOCAL = 500_000, 3
+#: Shingles that come last in the order: those counted most often, and how often in some bytes of sets counts.
+HOT, HOT_LOCAL, HOT_BYTES = 500_000, 3, 8 << 20
 #: Regions of more sets are split around documents of their own, so many times at most.
 REGION, DEPTH = 256, 4
 #: Most class keys in a table that is broadcast for filtering sets (32 MB); larger tables are joined by shuffle.
@@ -83,6 +83,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
     """(doc_id, key, n, hashes): key is a 128-bit digest of the set, null if it is empty; hashes are packed 64-bit numbers."""
+    settle(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +100,24 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> Data
 
 
 def hot_shingles(sets: DataFrame) -> np.ndarray:
-    """The HOT most frequent shingles, ascending in frequency, by counts over batches of rows in which they come HOT_LOCAL times."""
+    """The HOT most frequent shingles, ascending in frequency, by counts over some HOT_BYTES of sets in which they come HOT_LOCAL times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(0).to_pylist()
-            v, c = np.unique(np.frombuffer(b"".join(r or b"" for r in raw), np.uint64), return_counts=True)
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            v, c = np.unique(np.frombuffer(b"".join(held), np.uint64), return_counts=True)
             often = c >= HOT_LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often])], ["s", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often])], ["s", "c"])
+
+        for b in batches:
+            new = [r for r in b.column(0).to_pylist() if r]
+            held += new
+            size += sum(map(len, new))
+            if size > HOT_BYTES:
+                yield counted()
+                held, size = [], 0
+        yield counted()
 
     rows = sets.select("hashes").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(HOT).select("s")
     found = np.concatenate([c.to_numpy() for c in rows.toArrow()["s"].chunks] or [np.zeros(0, np.int64)]).view(np.uint64)

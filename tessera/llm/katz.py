@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, table, written
+from tessera.llm.common import crc_mod, settle, table, written
 
 K = 7
 BLOCK_TOKENS, PARTITION_KEYS = 2_000_000, 2_000_000
@@ -113,6 +113,7 @@ BLOCK = "block string, n_words long, n_pairs long, n_tokens long, words binary,
 
 def blocks_of(df: DataFrame, id_col: str, text_col: str, held: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Documents in blocks (BLOCK and ids array)."""
+    settle(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
 

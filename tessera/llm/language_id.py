@@ -20,7 +20,6 @@ from __future__ import annotations
 import io
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, fresh
+from tessera.llm.common import crc_mod, fresh, held, settle
 
 ORDER, PER_LANG, QUANTILE, MARGIN = 4, 800, 0.999, 0.35
-CACHED = 300_000
+CACHED = 150_000
 #: What a text of fewer characters may exceed the threshold by, in nats per root of its length.
 SLACK = 6.0
 NOT_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -199,9 +198,8 @@ class Models:
             return Models(dict(z))
 
 
-@lru_cache(2)
 def worker_models(blob: bytes) -> Models:
-    return Models.load(blob)
+    return held(("languages", blob), lambda: Models.load(blob))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> bytes:
@@ -245,6 +243,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 def identified(df: DataFrame, blob: bytes, text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score", "entropy", "rejected")) -> DataFrame:
     """df with four more columns; names already taken get underscores."""
+    settle(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(blob)  # bounded by the sample it was fitted on
 
     @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")

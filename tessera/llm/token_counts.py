@@ -19,7 +19,6 @@ import json
 import os
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import held, settle
+
 LIMIT = 2048
 CHUNK_CHARS, OVERLAP = 32_768, 512
 CACHED = 150_000
@@ -92,10 +93,9 @@ class PieceBPE:
         return len(self.sp.encode(text))
 
 
-@lru_cache(2)
 def worker_bpe(path: str) -> WordBPE | PieceBPE:
     os.environ["RAYON_NUM_THREADS"] = "1"
-    return PieceBPE(path) if path.endswith(".model") else WordBPE(path)
+    return held(("counts", path), lambda: PieceBPE(path) if path.endswith(".model") else WordBPE(path))
 
 
 def stable(text: str, starts: list[int], base: int, low: int, high: int) -> list[tuple[int, int]]:
@@ -130,6 +130,7 @@ def splice(bpe: WordBPE, parts: list[dict]) -> int:
 
 def counted(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Rows (id_col, n_bytes, n_tokens, over_limit) of all rows of df."""
+    settle(df.sparkSession)
     key = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"id {key}, n_bytes long, n_tokens long"

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, fresh
+from tessera.llm.common import crc_mod, fresh, held, settle
 
 BUCKETS, SAMPLE, MIN_DF, FACTORS, EPOCHS = 1 << 20, 20_000, 4, 4, 8
 #: Least log-likelihood ratio of a term with the label; L1 weight; rate of learning.
 EVIDENCE, LASSO, RATE = 10.8, 0.2, 0.15
-CACHED = 300_000
+CACHED = 150_000
 EDGE = ".,;:!?\"'()[]{}|-_*#<>=/\\…«»“”„’`~"
 
 
@@ -128,13 +127,13 @@ def trained(x: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
     return Machine(place, w0, w, v)
 
 
-@lru_cache(2)
 def worker_machine(blob: bytes) -> Machine:
-    return Machine.load(blob)
+    return held(("machine", blob), lambda: Machine.load(blob))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
     """A machine from labelled documents: docs (doc_id, text), labels (doc_id, toxic)."""
+    settle(docs.sparkSession)
     chosen = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null").withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("fm"))).orderBy("h", "doc_id", "toxic").limit(sample).drop("h")
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int"))
 
@@ -159,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
 
 def scored(df: DataFrame, blob: bytes, text_col: str = "text", name: str = "score") -> DataFrame:
     """df with the score of each text in one more column (underscores are added while the name is taken)."""
+    settle(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(blob)  # bounded by BUCKETS
 
     @F.pandas_udf("double")
