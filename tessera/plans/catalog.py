@@ -143,6 +143,16 @@ query("annotate_nearest", f"{DIST} select id, arg_min(site, (d, site)) as site,
 query("knn_idw_interpolate", f"{DIST}, r as (select *, row_number() over (partition by id order by d, site) as r from d) select id, round(sum(value / (d + 1e-10)) / sum(1 / (d + 1e-10)), 6) as value from r where r <= 10 and d <= 0.5 group by id")(
     lambda s, d: six(geometry.interpolate((p := points(s, d)).filter("id % 10 <> 0"), sites(p), 10, 0.5), "value").select("id", "value")
 )
+
+def all_sites(p: DataFrame) -> DataFrame:
+    return p.select(F.col("id").alias("site"), *[F.col(c).alias(f"s{c}") for c in "xyz"], F.col("label").cast("double").alias("value"))
+
+
+ALL = f"with {POINTS}, d as (select p.id, s.id as site, cast(s.label as double) as value, sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2 + (p.z - s.z) ** 2) as d from pts p, pts s where s.id <> p.id)"
+query("annotate_nearest_all", f"{ALL} select id, arg_min(site, (d, site)) as site, round(min(d), 6) as d from d group by id")(lambda s, d: six(geometry.nearest(p := points(s, d), all_sites(p), itself=False), "d").select("id", "site", "d"))
+query("knn_idw_interpolate_all", f"{ALL}, r as (select *, row_number() over (partition by id order by d, site) as r from d) select id, round(sum(value / (d + 1e-10)) / sum(1 / (d + 1e-10)), 6) as value from r where r <= 10 and d <= 0.5 group by id")(
+    lambda s, d: six(geometry.interpolate(p := points(s, d), all_sites(p), 10, 0.5, itself=False), "value").select("id", "value")
+)
 query("clean_transcript", r"select conv_id, turn, upper(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[!-&(-/:-@\[-`{-~]', '', 'g')) as transcript from conversations")(
     lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", features.clean_transcript(F.col("text")).alias("transcript"))
 )
