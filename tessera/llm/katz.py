@@ -1,22 +1,25 @@
-"""Language-model scoring by Katz backoff over word bigrams.
+"""Language-model scoring by Katz backoff over word n-grams, up to trigrams in production.
 
 Seen n-grams get Good-Turing discounted counts; what discounting takes away goes to unseen continuations through backoff
 weights that are computed exactly, from the sums over each history's seen continuations:
 
     P(w | h) = d(c) c(h, w) / c(h)                 if c(h, w) > 0
-    P(w | h) = a(h) P(w),  a(h) = (1 - sum of seen P(. | h)) / (1 - sum of their P(.))   else
+    P(w | h) = a(h) P(w | h'),  a(h) = (1 - sum of seen P(. | h)) / (1 - sum of their P(. | h')),  h' = h without its first word   else
     P(w)     = d(c) c(w) / N                       if c(w) > 0
     P(w)     = (1 - sum of the above) / M          else, M: unseen words as Chao's estimate has them
 
 d(c) follows Good-Turing up to K, with Katz's renormalisation; where the counts of counts don't give a discount between 0 and 1,
 and above K, an absolute discount stands in, so that each history has mass left. A text is its words and one end; the first
-word's history is the start. All training texts are counted, all n-grams kept.
+word's history is the start, the second's the start and the first word, and so on: no n-gram begins before the start. a(h) = 1 where h
+isn't seen. Each order has discounts of its own. All training texts are counted, all n-grams kept.
 
 Layout. Documents are packed into blocks (rows of a table in the shared folder: each block's distinct words and its
 texts as numbers of them). Blocks pre-aggregate, and send distinct keys with their counts to hash partitions of the model's
 tables as sorted, packed 64-bit keys; a partition adds up and answers each block with totals for its keys. Keys are spread by hash of the
 whole n-gram, and each block sends a key once, so that frequent words or histories crowd no partition; the number of partitions
 follows the number of keys. Sums over histories are made the same way: one block owns each distinct n-gram and adds it up.
+Answers also say which n-grams no other block has. Longer n-grams that hold such a one are in no other block either: the block counts
+them by itself, and sums over such a history by itself. From trigrams on, only the others are asked for.
 
 Defined cases: null text counts as empty, which is one token, the end. With no training text all words are unknown: N = V = 0
 and P(w) = 1. Repeated rows and null ids give one row each; a null id counts as the empty text in the fold. Other columns are not read.
@@ -24,7 +27,9 @@ and P(w) = 1. Repeated rows and null ids give one row each; a null id counts as
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -159,11 +164,36 @@ def blocks_of(df: DataFrame, id_col: str, text_col: str, held: Column, block_tok
     return src.mapInArrow(run, f"{BLOCK}, ids array<{kind}>")
 
 
+class Grams:
+    """The distinct n-grams of one order in a block, sorted by key: histories and suffixes (numbers among those of the order below), last
+    words, training counts; `at`: the tokens that have words enough before them, `of`: their n-grams."""
+
+    def __init__(self, block: "Block", below: "Grams | None"):
+        self.order = below.order + 1 if below else 2
+        if below:
+            self.at = np.flatnonzero(block.position >= self.order - 2).astype(np.int32)
+            of = np.full(len(block.w), -1, np.int32)
+            of[below.at] = below.of
+            h, s, n = of[self.at - 1], of[self.at], len(below.keys)
+        else:
+            self.at, h, s, n = np.arange(len(block.w), dtype=np.int32), block.h, block.w, len(block.words)
+        code, inverse = np.unique(h.astype(np.int64) * n + s, return_inverse=True)
+        h, s = (code // n).astype(np.int32), (code % n).astype(np.int32)
+        last = below.last[s] if below else s
+        keys = pair_keys((below.keys if below else block.words)[h], block.words[last])
+        order = np.argsort(keys, kind="stable")
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.of = back[inverse]
+        self.keys, self.h, self.s, self.last = keys[order], h[order], s[order], last[order]
+        self.counts = np.bincount(self.of[block.train[self.at]], minlength=len(order))
+
+
 class Block:
     """A row of the table of blocks, unpacked."""
 
     def __init__(self, words: bytes, tokens: bytes, sizes: list[int], held: list[bool]):
-        self.words, tokens = unpacked_keys(words), unpacked(tokens, np.int32).astype(np.int64)
+        self.words, tokens = unpacked_keys(words), unpacked(tokens, np.int32)
         self.sizes, self.held = np.asarray(sizes, np.int64), np.asarray(held, bool)
         ends = np.cumsum(self.sizes + 1)
         keep = np.ones(len(tokens), bool)
@@ -172,7 +202,8 @@ class Block:
         last = np.ones(len(tokens), bool)
         last[ends - 1] = False
         self.h = tokens[last]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.position = (np.arange(len(self.w)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
         self.train = ~self.held[self.doc]
 
     def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -181,21 +212,41 @@ class Block:
         c[np.searchsorted(self.words, np.uint64(START))] = (~self.held).sum()
         return self.words, c
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys, training counts, histories, words of the distinct bigrams; the bigram of each token."""
-        code, inverse = np.unique(self.h * len(self.words) + self.w, return_inverse=True)
-        h, w = code // len(self.words), code % len(self.words)
-        keys = pair_keys(self.words[h], self.words[w])
-        order = np.argsort(keys, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        of = back[inverse]
-        return keys[order], np.bincount(of[self.train], minlength=len(order)), h[order], w[order], of
+
+def told_of(told: pa.Table, order: int) -> np.ndarray:
+    """The answers of one order, in the order of the keys."""
+    t = told.filter(pa.compute.equal(told["order"], order))
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked(b, np.int64) for _, b in sorted(zip(t["part"].to_pylist(), t["totals"].to_pylist())))])
+
+
+def known(block: Block, told: pa.Table, order: int) -> Iterator[tuple[Grams | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-grams, totals, whether the block owns them, whether no other block has them), of words and each order to the given one."""
+    code, g = told_of(told, 1), None
+    alone = (code & 2) > 0
+    yield None, code >> 2, (code & 1) > 0, alone
+    for m in range(2, order + 1):
+        g = Grams(block, g)
+        code = told_of(told, m)
+        if m > 2:
+            asked, new = ~(alone[g.h] | alone[g.s]), g.counts * 4 + 3
+            new[asked] = code
+            code = new
+        alone = (code & 2) > 0
+        yield g, code >> 2, (code & 1) > 0, alone
 
 
 REQUEST = "part int, block string, keys binary, counts binary"
 
 
+def cut_rows(name: str, keys: np.ndarray, counts: np.ndarray, partitions: int) -> list[tuple]:
+    cuts = cut_by_partition(keys, partitions)
+    return [(i, name, packed_keys(keys[a:z]), packed(counts[a:z].astype(np.int64))) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+
+
+def request_table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["part", "block", "keys", "counts"])
+
+
 def requests(blocks: DataFrame, pairs: bool, partitions: int) -> DataFrame:
     """Each block's keys and training counts, cut by partition of the model's table."""
 
@@ -203,24 +254,58 @@ def requests(blocks: DataFrame, pairs: bool, partitions: int) -> DataFrame:
         for b in batches:
             for name, *state in zip(*(c.to_pylist() for c in b.columns)):
                 block = Block(*state)
-                keys, counts = block.bigrams()[:2] if pairs else block.unigrams()
-                cuts = cut_by_partition(keys, partitions)
-                rows = [(i, name, packed_keys(keys[a:z]), packed(counts[a:z].astype(np.int64))) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["part", "block", "keys", "counts"])
+                if pairs:
+                    g = Grams(block, None)
+                    keys, counts = g.keys, g.counts
+                else:
+                    keys, counts = block.unigrams()
+                yield from request_table(cut_rows(name, keys, counts, partitions)).to_batches()
 
     return blocks.select("block", "words", "tokens", "sizes", "held").mapInArrow(run, REQUEST)
 
 
+def open_requests(blocks: DataFrame, tables: list[DataFrame], partitions: int) -> DataFrame:
+    """Of the order above the tables', the keys that another block may have, as requests() has them; the statistics of the others lie at
+    partition -1."""
+    order = len(tables) + 1
+
+    def run(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
+        row = left.slice(0, 1).to_pylist()[0]
+        block = Block(row["words"], row["tokens"], row["sizes"], row["held"])
+        for below, _, _, alone in known(block, told, order - 1):
+            pass
+        g = Grams(block, below)
+        closed = alone[g.h] | alone[g.s]
+        rows = cut_rows(row["block"], g.keys[~closed], g.counts[~closed], partitions)
+        return request_table([*rows, (-1, row["block"], None, packed(tallied(g.counts[closed])))])
+
+    return blocks.select("block", "words", "tokens", "sizes", "held").groupBy("block").cogroup(all_told(tables).groupBy("block")).applyInArrow(run, REQUEST)
+
+
+def all_told(tables: list[DataFrame]) -> DataFrame:
+    """The answers of the orders from 1 on."""
+    parts = [t.filter("block is not null").select("block", "part", "totals", F.lit(m).alias("order")) for m, t in enumerate(tables, 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tallied(totals: np.ndarray) -> np.ndarray:
+    """Sum of counts, keys with a count, counts of counts from 0 to K + 1."""
+    return np.array([totals.sum(), (totals > 0).sum(), *np.bincount(np.minimum(totals, K + 2).astype(np.int64), minlength=K + 3)[: K + 2]], np.int64)
+
+
 ANSWER = "part int, block string, totals binary, stats array<long>"
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """For each request the totals of its keys, twice over, plus one where the block owns the key; and, with a null block, each
-    partition's statistics: sum of counts, keys with a count, counts of counts from 0 to K + 1 (without the start)."""
+    """For each request the totals of its keys, four times over, plus one where the block owns the key, plus two where no other block has
+    it; and, with a null block, each partition's statistics (tallied, without the start)."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         part, names = t.column("part")[0].as_py(), t.column("block").to_pylist()
+        if part < 0:
+            stats = sum(unpacked(c, np.int64) for c in t.column("counts").to_pylist()).tolist()
+            return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([None], pa.string()), "totals": pa.array([None], pa.binary()), "stats": pa.array([stats], pa.list_(pa.int64()))})
         keys = [unpacked_keys(k) for k in t.column("keys").to_pylist()]
         counts = np.concatenate([unpacked(c, np.int64) for c in t.column("counts").to_pylist()])
         sizes = np.array([len(k) for k in keys])
@@ -230,10 +315,9 @@ def answers(asked: DataFrame) -> DataFrame:
         ranked = flat[order]
         first = np.r_[True, ranked[1:] != ranked[:-1]]
         totals = np.add.reduceat(counts[order], np.flatnonzero(first))
-        own = ranked[first] != np.uint64(START)
-        stats = [int(totals[own].sum()), int((totals[own] > 0).sum()), *np.bincount(np.minimum(totals[own], K + 2), minlength=K + 3)[: K + 2].tolist()]
+        stats = tallied(totals[ranked[first] != np.uint64(START)]).tolist()
         code = np.empty(len(flat), np.int64)
-        code[order] = totals[np.cumsum(first) - 1] * 2 + first
+        code[order] = totals[np.cumsum(first) - 1] * 4 + (first & np.r_[first[1:], True]) * 2 + first
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         blobs = [packed(code[a:z]) for a, z in zip(cuts, cuts[1:])]
         n = len(names)
@@ -251,54 +335,57 @@ def statistics(answered: DataFrame) -> np.ndarray:
     return out
 
 
-SCORED = "kind string, part int, block string, docs array<struct<i:int,n_tokens:long,n_known:long,base:double,score:double>>, keys binary, left binary, seen binary, doc binary, n binary"
+SCORED = "kind string, order int, part int, block string, docs array<struct<i:int,n_tokens:long,n_known:long,base:double,score:double>>, keys binary, left binary, seen binary, doc binary, n binary"
 
 
-def block_scores(blocks: DataFrame, words: DataFrame, pairs: DataFrame, one: Unigrams, two: Discounts, partitions: int) -> DataFrame:
-    """Of each block: its texts' scores without backoff weights (`docs`); what its own n-grams take from and leave to their histories
-    (`sums`); and where its texts need weights (`needs`)."""
+def block_scores(blocks: DataFrame, tables: list[DataFrame], one: Unigrams, discounts: list[Discounts], partitions: list[int]) -> DataFrame:
+    """Of each block: its texts' scores without the backoff weights of histories that other blocks have too (`docs`); what its own n-grams
+    take from and leave to such histories (`sums`); and where its texts need their weights (`needs`). discounts and partitions: of each
+    order from 2 on, partitions of its histories."""
+    top = len(tables)
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        name = key[0].as_py()
+    def run(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
         row = left.slice(0, 1).to_pylist()[0]
-        block = Block(row["words"], row["tokens"], row["sizes"], row["held"])
-        totals = {k: [unpacked(b, np.int64) for _, b in sorted(zip(t["part"].to_pylist(), t["totals"].to_pylist()))] for k in (0, 1) for t in [right.filter(pa.compute.equal(right["pairs"], k))]}
-        c = np.concatenate(totals[0]) >> 1
-        code = np.concatenate(totals[1])
-        total, owner = code >> 1, (code & 1).astype(bool)
-        _, _, h, w, of = block.bigrams()
-        p = one.p(c)
-        c_h = np.maximum(c[h], 1)
-        kept = two.kept(total) / c_h
-        seen = total > 0
-        with np.errstate(divide="ignore"):
-            value = np.log10(np.where(seen, kept, p[w]))
-        n = len(block.sizes)
-        score = np.bincount(block.doc, value[of], n)
-        base = np.bincount(block.doc, np.log10((c[block.w] + 1) / (one.total + one.types + 1)), n)
-        known = np.bincount(block.doc[c[block.w] > 0], minlength=n)
-        docs = [{"i": i, "n_tokens": int(s), "n_known": int(k), "base": float(b), "score": float(x)} for i, (s, k, b, x) in enumerate(zip(block.sizes, known, base, score))]
-        out = [("docs", None, name, docs, *[None] * 5)]
-        mine = owner & seen
-        left_ = np.bincount(h[mine], (total[mine] - two.kept(total[mine])) / c_h[mine], len(c))
-        seen_ = np.bincount(h[mine], p[w[mine]], len(c))
-        with_ = np.flatnonzero(left_ > 0)
-        keys = block.words[with_]
-        cuts = cut_by_partition(keys, partitions)
-        out += [("sums", i, name, None, packed_keys(keys[a:z]), packed(left_[with_[a:z]].astype(np.float32)), packed(seen_[with_[a:z]].astype(np.float32)), None, None) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-        lacking = np.flatnonzero(~seen[of] & (c[block.h] > 0))
-        if len(lacking):
-            code, times = np.unique(block.h[lacking] * n + block.doc[lacking], return_counts=True)
-            keys, doc = block.words[code // n], code % n  # ascending in key: words are sorted by it
-            cuts = cut_by_partition(keys, partitions)
-            out += [("needs", i, name, None, packed_keys(keys[a:z]), None, None, packed(doc[a:z].astype(np.int32)), packed(times[a:z].astype(np.int32))) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-        columns = list(zip(*out))
+        name, block, n = row["block"], Block(row["words"], row["tokens"], row["sizes"], row["held"]), len(row["sizes"])
+        out: list[tuple] = []
+        below_p = below_c = below_alone = below_keys = value = weights = None
+        for g, c, owner, alone in known(block, told, top):
+            if g is None:
+                p = one.p(c)
+                value, weights = np.log10(p)[block.w], np.zeros(n)
+                base = np.bincount(block.doc, np.log10((c[block.w] + 1) / (one.total + one.types + 1)), n)
+                known_ = np.bincount(block.doc[c[block.w] > 0], minlength=n)
+                below_p, below_c, below_alone, below_keys = p, c, alone, block.words
+                continue
+            d, parts = discounts[g.order - 2], partitions[g.order - 2]
+            seen, c_h = c > 0, np.maximum(below_c[g.h], 1)
+            kept = d.kept(c)
+            mine = np.flatnonzero(owner & seen)
+            left_ = np.bincount(g.h[mine], (c[mine] - kept[mine]) / c_h[mine], len(below_c))
+            seen_ = np.bincount(g.h[mine], below_p[g.s[mine]], len(below_c))
+            with_ = np.flatnonzero((left_ > 0) & ~below_alone)
+            keys = below_keys[with_]
+            cuts = cut_by_partition(keys, parts)
+            out += [("sums", g.order, i, name, None, packed_keys(keys[a:z]), packed(left_[with_[a:z]].astype(np.float32)), packed(seen_[with_[a:z]].astype(np.float32)), None, None) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+            p = np.where(seen, kept / c_h, 1.0)
+            value[g.at] = np.where(seen[g.of], np.log10(p)[g.of], value[g.at])
+            lacking = np.flatnonzero(~seen[g.of] & (below_c[g.h] > 0)[g.of])
+            h, doc = g.h[g.of[lacking]], block.doc[g.at[lacking]]
+            here = below_alone[h]
+            weights += np.bincount(doc[here], np.log10(left_[h[here]]) - np.log10(np.maximum(1 - seen_[h[here]], 1e-12)), n)
+            code, times = np.unique(h[~here].astype(np.int64) * n + doc[~here], return_counts=True)
+            keys, doc = below_keys[code // n], code % n  # ascending in key: the order below is sorted by it
+            cuts = cut_by_partition(keys, parts)
+            out += [("needs", g.order, i, name, None, packed_keys(keys[a:z]), None, None, packed(doc[a:z].astype(np.int32)), packed(times[a:z].astype(np.int32))) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+            below_p, below_c, below_alone, below_keys = p, c, alone, g.keys
+        score = np.bincount(block.doc, value, n) + weights
+        docs = [{"i": i, "n_tokens": int(s), "n_known": int(k), "base": float(b), "score": float(x)} for i, (s, k, b, x) in enumerate(zip(block.sizes, known_, base, score))]
+        out.append(("docs", None, None, name, docs, *[None] * 5))
         doc_type = pa.list_(pa.struct([("i", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
-        types = [pa.string(), pa.int32(), pa.string(), doc_type, *[pa.binary()] * 5]
-        return pa.table({f.split()[0] if " " in f else f: pa.array(list(col), t) for f, col, t in zip(["kind", "part", "block", "docs", "keys", "left", "seen", "doc", "n"], columns, types)})
+        types = [pa.string(), pa.int32(), pa.int32(), pa.string(), doc_type, *[pa.binary()] * 5]
+        return pa.table({f: pa.array(list(col), t) for f, col, t in zip(["kind", "order", "part", "block", "docs", "keys", "left", "seen", "doc", "n"], list(zip(*out)), types)})
 
-    told = words.filter("block is not null").select("block", "part", "totals", F.lit(0).alias("pairs")).unionByName(pairs.filter("block is not null").select("block", "part", "totals", F.lit(1).alias("pairs")))
-    return blocks.select("block", "words", "tokens", "sizes", "held").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCORED)
+    return blocks.select("block", "words", "tokens", "sizes", "held").groupBy("block").cogroup(all_told(tables).groupBy("block")).applyInArrow(run, SCORED)
 
 
 def backoff(rows: DataFrame) -> DataFrame:
@@ -323,20 +410,34 @@ def backoff(rows: DataFrame) -> DataFrame:
         schema = pa.schema([("block", pa.string()), ("i", pa.int32()), ("backoff", pa.float64())])
         return pa.Table.from_pandas(pd.concat(out), schema, preserve_index=False) if out else schema.empty_table()
 
-    parts = rows.filter("kind != 'docs'").select("part", "kind", "block", "keys", "left", "seen", "doc", "n")
-    return parts.groupBy("part").applyInArrow(run, "block string, i int, backoff double").groupBy("block", "i").agg(F.sum("backoff").alias("backoff"))
+    parts = rows.filter("kind != 'docs'").select("order", "part", "kind", "block", "keys", "left", "seen", "doc", "n")
+    return parts.groupBy("order", "part").applyInArrow(run, "block string, i int, backoff double").groupBy("block", "i").agg(F.sum("backoff").alias("backoff"))
+
+
+def unused(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written: else they stay until the driver collects its garbage."""
+    gc.collect()
+    if jvm := getattr(getattr(spark, "_sc", None), "_jvm", None):
+        jvm.System.gc()
 
 
-def scored(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, partition_keys: int = PARTITION_KEYS) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held: rows that are scored, but not learned from."""
+def scored(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, partition_keys: int = PARTITION_KEYS, order: int = 2) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held: rows that are scored, but not learned from; order: of the
+    longest n-grams, 2 at least."""
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     blocks = written(blocks_of(df, id_col, text_col, held, block_tokens), "blocks")
-    size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_pairs").alias("pairs")).first()
-    few, many = (max(1, -(-int(n or 0) // partition_keys)) for n in size)
-    words = written(answers(requests(blocks, False, few)), "unigrams")
-    pairs = written(answers(requests(blocks, True, many)), "bigrams")
-    s1, s2 = statistics(words), statistics(pairs)
-    one, two = Unigrams(int(s1[0]), int(s1[1]), s1[2:]), Discounts(s2[2:])
-    rows = written(block_scores(blocks, words, pairs, one, two, few), "block-scores")
+    size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_pairs").alias("pairs"), F.sum("n_tokens").alias("tokens")).first()
+    few, many, most = (max(1, -(-int(n or 0) // partition_keys)) for n in size)
+    tables = [written(answers(requests(blocks, False, few)), "unigrams"), written(answers(requests(blocks, True, many)), "bigrams")]
+    for m in range(3, order + 1):
+        unused(df.sparkSession)
+        tables.append(written(answers(open_requests(blocks, tables, most)), f"{m}-grams"))
+    s1, *more = map(statistics, tables)
+    one = Unigrams(int(s1[0]), int(s1[1]), s1[2:])
+    unused(df.sparkSession)
+    rows = written(block_scores(blocks, tables, one, [Discounts(s[2:]) for s in more], [few, many, *[most] * order]), "block-scores")
+    unused(df.sparkSession)
     docs = rows.filter("kind = 'docs'").select("block", F.inline("docs"))
     names = blocks.select("block", F.posexplode(F.arrays_zip("ids", "held")).alias("i", "x")).select("block", "i", F.col("x.ids").alias("id"), F.col("x.held").alias("held_out"))
     return (
@@ -347,4 +448,4 @@ def scored(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"), F.expr(crc_mod("doc_id", 7) + " = 2"))
+    return scored(table(spark, sf_dir, "documents"), F.expr(crc_mod("doc_id", 7) + " = 2"), order=3)

@@ -90,3 +90,54 @@ def test_better_than_the_base_on_held_out_texts(spark):
     p = katz.op6(spark, "/root/testdata/sf0.01").toPandas()
     h = p[p.held_out]
     assert len(p) == 1000 and h.score.sum() > h.base_score.sum() and p.train_tokens.nunique() == 1
+
+
+class Trigrams(Brute):
+    """As Brute, with the order above."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.tri, self.after2 = Counter(), defaultdict(list)
+        for t in texts:
+            x = [None, *words(t)]
+            self.tri.update(zip(x, x[1:], x[2:]))
+        self.d3 = katz.Discounts(np.array([sum(v == r for v in self.tri.values()) for r in range(katz.K + 2)]))
+        for (u, v, w), c in self.tri.items():
+            self.after2[u, v].append((w, c))
+
+    def seen3(self, c, u, v):
+        return self.d3.kept(np.array([c]))[0] / self.bi[u, v]
+
+    def p3(self, w, u, v):
+        if self.tri[u, v, w]:
+            return self.seen3(self.tri[u, v, w], u, v)
+        if not self.bi[u, v]:
+            return self.p2(w, v)
+        left = 1 - sum(self.seen3(c, u, v) for _, c in self.after2[u, v])
+        return left / (1 - sum(self.p2(x, v) for x, _ in self.after2[u, v])) * self.p2(w, v)
+
+
+@pytest.mark.parametrize("n,tokens,keys", [(60, 200, 50), (300, 1000, 1000), (4, 10, 10), (60, 100_000, 100_000)])
+def test_trigrams_equal_brute_force(spark, n, tokens, keys):
+    rows = corpus(n)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    got = [tuple(r) for r in katz.scored(df, F.expr(katz.crc_mod("doc_id", 7) + " = 2"), block_tokens=tokens, partition_keys=keys, order=3).collect()]
+    model = Trigrams([t for i, t in rows if not held(i)])
+    want = []
+    for i, t in rows:
+        x = [None, *words(t)]
+        want.append((i, len(x) - 1, math.log10(model.p2(x[1], None)) + sum(math.log10(model.p3(w, u, v)) for u, v, w in zip(x, x[1:], x[2:]))))
+    key = lambda r: (str(r[0]), r[1], r[2])
+    for g, w in zip(sorted(((r[0], r[2], r[6]) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-5, abs_tol=1e-5)
+    for u, v in [(None, b"w0"), *list(model.bi)[:20]]:
+        if v != b"\n":
+            assert math.isclose(sum(model.p3(w, u, v) for w in model.uni) + model.m * model.p3(b"never seen", u, v), 1, rel_tol=1e-9)
+
+
+def test_production_uses_two_words_of_context(spark, tmp_path):
+    rows = [(i, "a b c " * 3 + "x b d " * 3) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    two = katz.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.expr(katz.crc_mod("doc_id", 7) + " = 2")).agg(F.sum("score")).first()[0]
+    assert katz.op6(spark, str(tmp_path)).agg(F.sum("score")).first()[0] > two + 1
