@@ -92,11 +92,14 @@ def rereference(df: DataFrame, method: str = "avg") -> DataFrame:
     return df.withColumn("x", F.col("x") - f("x").over(Window.partitionBy("trial_id", "t")))
 
 
+def delayed(value: str, first: int, last: int) -> list[Column]:
+    """value at t - lag in the same trial, 0 outside of it, for each lag."""
+    return [F.lag(value, d, 0.0).over(by_time()) if d >= 0 else F.lead(value, -d, 0.0).over(by_time()) for d in range(first, last + 1)]
+
+
 def delay_embed(df: DataFrame, first: int, last: int, value: str = "x") -> DataFrame:
     """(trial_id, t, lag, x): x at t - lag in the same trial, 0 outside of it."""
-    lags = range(first, last + 1)
-    items = [F.lag(value, d, 0.0).over(by_time()) if d >= 0 else F.lead(value, -d, 0.0).over(by_time()) for d in lags]
-    return df.withColumn("_w", F.array(*items)).select("trial_id", "t", F.posexplode("_w").alias("_i", value)).select("trial_id", "t", (F.col("_i") + first).cast("long").alias("lag"), value)
+    return df.withColumn("_w", F.array(*delayed(value, first, last))).select("trial_id", "t", F.posexplode("_w").alias("_i", value)).select("trial_id", "t", (F.col("_i") + first).cast("long").alias("lag"), value)
 
 
 def lda_discriminability(df: DataFrame, by: tuple[str, ...] = ("i",), value: str = "x", label: str = "label") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import container, features, geometry, signals
 from tessera.operators.grains import signal_events
+from tessera.operators.trf import TRF
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,6 +107,18 @@ select trial_id, t, case when rn <= floor(n * 0.5) then -1 else label end as lab
 signal("delay_embed", ", w as (select trial_id, t, unnest([-1, 0, 1, 2]) as lag from sig) select w.trial_id, w.t, cast(w.lag as bigint) as lag, round(coalesce(s.x, 0), 6) as x from w left join sig s on s.trial_id = w.trial_id and s.t = w.t - w.lag")(lambda g: six(signals.delay_embed(g, -1, 2), "x").select("trial_id", "t", "lag", "x"))
 signal("trf_ridge_fit", "select round(covar_pop(k, x) * count(*) / (var_pop(k) * count(*) + 10), 6) as slope, round(avg(x) - covar_pop(k, x) * count(*) / (var_pop(k) * count(*) + 10) * avg(k), 6) as intercept from sig")(lambda g: six(signals.ridge(g, "k", "x", 10.0), "slope", "intercept"))
 signal("trf_score", "select round(1 - sum((x - k) ** 2) / (var_pop(x) * count(*)), 6) as r2, round(corr(x, k), 6) as r from sig")(lambda g: six(signals.score(g, "x", "k"), "r2", "r"))
+
+
+def delay_model(s: SparkSession, d: str) -> tuple[TRF, DataFrame]:
+    """x, and x with k as two outputs, from four lags of k and the label."""
+    g = signal_events(s, d).withColumn("label", F.col("label").cast("double"))
+    return TRF(0, 3).fit(g, ["k", "label"], {"x": ["x"], "both": ["x", "k"]}), g
+
+
+# No SQL: the penalty is chosen by cross-validation.
+QUERIES["trf_model_coef"] = lambda s, d: six((m := delay_model(s, d))[0].coefficients(m[1]), "coef")
+QUERIES["trf_model_predict"] = lambda s, d: six((m := delay_model(s, d))[0].predict(m[1]), "p")
+QUERIES["trf_model_score"] = lambda s, d: six((m := delay_model(s, d))[0].score(m[1]), "r2", "r")
 signal("shaded_error_mean_stderr", "select t, round(avg(x), 6) as mean, round(avg(x) - stddev_pop(x) / sqrt(count(*)), 6) as low, round(avg(x) + stddev_pop(x) / sqrt(count(*)), 6) as high from sig group by t")(lambda g: six(signals.shaded_error(g), "mean", "low", "high"))
 signal("shaded_error_mean_std", "select t, round(avg(x), 6) as mean, round(avg(x) - stddev_pop(x), 6) as low, round(avg(x) + stddev_pop(x), 6) as high from sig group by t")(lambda g: six(signals.shaded_error(g, error="std"), "mean", "low", "high"))
 T_SQL = """, s as (select count(*) filter (label = 0) as n1, count(*) filter (label <> 0) as n2, avg(x) filter (label = 0) as m1, avg(x) filter (label <> 0) as m2, var_samp(x) filter (label = 0) as v1, var_samp(x) filter (label <> 0) as v2 from sig)
