@@ -7,7 +7,8 @@ ids are UUIDs of version 5 made from the response's id, so that a run that is re
 SHA-1 in base 32, as is usual in WARC files. Everything is made in one pass, without a shuffle.
 
 Defined cases: a null or empty message gives empty text and a metadata record with an empty status; null ids, dates and addresses
-become empty header values. A message without an end of headers is taken as a body alone. Bytes that
+become empty header values. A head that isn't closed ends at the body or the first thing that can't stand in a head; only scripts, styles
+and comments that aren't closed go on to the end of the page. A message without an end of headers is taken as a body alone. Bytes that
 the declared charset (UTF-8 if none or unknown) can't decode are replaced. Repeated responses give repeated records with the same ids. Other
 columns are not read.
 """
@@ -29,7 +30,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+DROPPED = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template)\b[^>]*>.*?</\2\s*>"
+    r"|<head\b[^>]*>(?:(?:(?!<body\b).)*?</head\s*>|(?:\s+|<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\3\s*>|<(?:base|link|meta)\b[^>]*>)*(?:</head\s*>)?)"
+    r"|<![^>]*>|<\?[^>]*>",
+    re.S | re.I,
+)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
 TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)

@@ -66,3 +66,12 @@ def test_edges_and_files(spark, tmp_path):
         assert read[at + len(head) + 4 + n :][:4] == b"\r\n\r\n"
         at, seen = at + len(head) + 8 + n, seen + 1
     assert seen == 12 and warc.derivatives(df.limit(0)).count() == 0
+
+
+def test_unclosed_elements_keep_the_text_after_them():
+    text = warc.text_of
+    assert text("<html><head><title>t</title><body><p>text") == "text"
+    assert text("<head><meta charset=x><script>'<body>'</script><link href=y><p>one<p>two") == "one\ntwo"
+    assert text("<head><title>t</title><script>'<body>'</script></head><body>text") == "text"
+    assert text("<p>a<template>b<p>c") == "ab\nc" and text("<p>a<noscript>b</noscript>c") == "a c"
+    assert text("<p>a<script>b<p>c") == "a"
