@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import time
 from html.parser import HTMLParser
 
 from tessera.llm import warc
@@ -75,3 +76,31 @@ def test_unclosed_elements_keep_the_text_after_them():
     assert text("<head><title>t</title><script>'<body>'</script></head><body>text") == "text"
     assert text("<p>a<template>b<p>c") == "ab\nc" and text("<p>a<noscript>b</noscript>c") == "a c"
     assert text("<p>a<script>b<p>c") == "a"
+
+
+def test_hostile_pages_take_linear_time():
+    for bad in ("<a ", "<a '", "<head>", "<title>", "<noscript>", "<!--", "<script>", "<a href ", "<", '</a "', "<a \"><a ''>"):
+        began = time.process_time()
+        warc.Page(bad * (1_000_000 // len(bad)))
+        assert time.process_time() - began < 10, bad
+
+
+def test_tags_and_links():
+    p = warc.Page("<html><head><title>T <b>x</title></head><body><!-- <a href=no> --><a class='>' href=\"u>v\">l</a> 1 < 2 <script><a href=no></script><a\nHREF=w>m</a> end <b unclosed")
+    assert (p.text, p.title, p.links) == ("l 1 < 2 m end", "T <b>x", ["u>v", "w"])
+
+
+def test_files_are_read_again(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
+    head = warc.header_of([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:1>"), ("WARC-Target-URI", "http://x"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Length", str(len(http)))])
+    raw = head.encode() + http + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(raw) + gzip.compress(raw))
+    (tmp_path / "b.warc").write_bytes(raw + raw[:-20])
+    (tmp_path / "c.warc").write_bytes(b"")
+    found = warc.read_files(spark, str(tmp_path)).collect()
+    assert len(found) == 3 and {(r.type, r.record_id, r.target_uri, bytes(r.http)) for r in found} == {("response", "<urn:1>", "http://x", http)}
+    out = warc.derivatives(warc.read_files(spark, str(tmp_path)).filter("type = 'response'"))
+    assert [bytes(r.block) for r in out.filter("type = 'conversion'").collect()] == [b"hello"] * 3
+    warc.write_files(out, f"file://{tmp_path}/again").collect()
+    again = warc.read_files(spark, f"{tmp_path}/again").collect()
+    assert sorted(r.type for r in again) == ["conversion"] * 3 + ["metadata"] * 3 and {bytes(r.http) for r in again if r.type == "conversion"} == {b"hello"}
