@@ -2,11 +2,13 @@
 
 Documents of at most `chunk_chars` characters are counted in one piece from remembered counts of their pre-tokens.
 A longer one becomes overlapping chunks in different tasks. Each is encoded by the library with offsets. A place is
-stable if a token starts there in both encodings, the character before it is ASCII white space and the one at it a
-printable ASCII character: the normaliser then changes nothing across it, the pre-tokenizer drops the white space
-and starts anew, so the tokens on each side depend on that side alone. Neighbours are spliced at the first such
-place in their overlap. Where an overlap holds none, both chunks' texts are kept and the pair is encoded again with
-the overlap widened to both chunks whole, over and over until the alignment holds or the text ends.
+stable if a token starts there in both encodings and nothing that the library does reaches across it: the character before it is
+ASCII white space and the one at it printable ASCII; or both are letters or digits of scripts that the normaliser leaves as they are
+(`PLAIN`: no marks, nothing that composes) and the pre-tokenizer puts a border there wherever it stands. The tokens on each side then
+depend on that side alone. Neighbours are spliced at the first such place in their overlap. Where an overlap holds none, it is widened:
+the text from the last place that both sides of an earlier join proved (or from the chunk's start) to a window of the following chunk is
+encoded again, twice as long each time, until the alignment holds or the text ends. Only texts of overlaps, and of chunks beside an overlap
+that holds no place, travel to the join.
 
 Defined cases: null text counts as empty, which has no tokens and no bytes; rows that repeat give one row each, with
 null ids too; other columns of the input are not read. Special strings inside texts count as the library's default
@@ -19,6 +21,7 @@ import json
 import os
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, settle
+from tessera.llm.common import held, lean, settle
 
 LIMIT = 2048
 CHUNK_CHARS, OVERLAP = 32_768, 512
@@ -48,6 +51,7 @@ class WordBPE:
         self.find = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.margin = 1 + max(map(len, self.special), default=0)  # a special string at a stable place is seen whole on both sides
         self.memory: dict[str, int] = {}
 
     def plain(self, text: str) -> int:
@@ -98,33 +102,70 @@ def worker_bpe(path: str) -> WordBPE | PieceBPE:
     return held(("counts", path), lambda: PieceBPE(path) if path.endswith(".model") else WordBPE(path))
 
 
+@lru_cache(1 << 16)
+def side(c: str) -> str:
+    """The pre-tokenizer's class of a character that normalising leaves alone and that joins no neighbour: l, n or o; else nothing."""
+    kind = unicodedata.category(c)
+    if kind[0] in "MZC" or len(c.lower()) != 1 or unicodedata.normalize("NFC", c) != c or "\u1100" <= c <= "\u11ff":
+        return ""
+    return kind[0].lower() if kind[0] in "LN" else "o"
+
+
+def border(text: str, p: int) -> bool:
+    """Whether a pre-token starts at p whatever stands around, unless a special string reaches across it."""
+    y = side(text[p])
+    if text[p - 1] in SPACE:
+        return y != ""
+    x = side(text[p - 1])
+    return x != "" and y != "" and (x != y or y == "n") and not (y == "l" and text[p - 1] == "'")
+
+
 def stable(text: str, starts: list[int], base: int, low: int, high: int) -> list[tuple[int, int]]:
-    """(place in the document, tokens before it in this chunk) of the stable places from low to high."""
+    """(place in the document, tokens before it in this chunk) of the stable places from low to before high."""
     out = []
-    for k in range(bisect_left(starts, max(1, low - base)), len(starts)):
-        p = starts[k]
-        if p + base > high:
-            break
-        if (not k or starts[k - 1] < p) and text[p - 1] in SPACE and "!" <= text[p] <= "~":
+    for p in range(max(1, low - base), min(len(text), high - base)):
+        if border(text, p) and (k := bisect_left(starts, p)) < len(starts) and starts[k] == p:
             out.append((p + base, k))
     return out
 
 
+def last_stable(text: str, starts: list[int], base: int, low: int, high: int) -> tuple[int, int] | None:
+    """The last of stable()."""
+    for end in range(high, low, -256):
+        if found := stable(text, starts, base, max(low, end - 256), end):
+            return found[-1]
+    return None
+
+
 def splice(bpe: WordBPE, parts: list[dict]) -> int:
-    """Tokens of a document from its chunks, which are in order: base, text or None, n, head and tail (stable places in the overlaps)."""
-    done, current = 0, parts[0]
-    skip = 0  # tokens of the current chunk that the chunk before has counted
-    for following in parts[1:]:
-        ahead = dict(following["head"])
-        common = next(((p, k) for p, k in current["tail"] if p in ahead and k >= skip), None)
-        if common:
+    """Tokens of a document from its chunks, which are in order: base, n, head and tail (stable places in the overlaps), last (the last one before
+    the overlap), margin, and text where an overlap has no stable place."""
+    done, i, grow = 0, 1, 1
+    current = parts[0]
+    skip, at = 0, current["base"]  # tokens of the current chunk that are counted, and where the next one starts
+    while i < len(parts):
+        ahead = dict(parts[i]["head"])
+        if common := next(((p, k) for p, k in current["tail"] if p in ahead and k >= skip), None):
             done += common[1] - skip
-            current, skip = following, ahead[common[0]]
+            current, at, skip = parts[i], common[0], ahead[common[0]]
+            i, grow = i + 1, 1
             continue
-        text = current["text"] + following["text"][current["base"] + len(current["text"]) - following["base"] :]
-        starts = bpe.starts(text)  # widened: both chunks whole; what the chunk before has counted is still the same tokens
-        end = current["base"] + len(text)
-        current = {"base": current["base"], "text": text, "n": len(starts), "tail": stable(text, starts, current["base"], following["tail_from"], end)}
+        m = 1  # widened: from the last proven place to the end of one, two, four... chunks that hang together
+        while m < grow and i + m < len(parts) and not parts[i + m]["head"]:
+            m += 1
+        if current["last"] and current["last"][1] >= skip and current["last"][0] > at:
+            done += current["last"][1] - skip
+            at, skip = current["last"]
+        pieces, end = [current["text"][at - current["base"] :]], current["base"] + len(current["text"])
+        for f in parts[i : i + m]:
+            pieces.append(f["text"][end - f["base"] :])
+            end = f["base"] + len(f["text"])
+        text = "".join(pieces)
+        starts = bpe.starts(text)
+        i, grow = i + m, grow * 2
+        overlap = parts[i]["base"] if i < len(parts) else end
+        current = {"base": at, "text": text, "n": len(starts), "tail": stable(text, starts, at, overlap + bpe.margin, end - bpe.margin), "last": last_stable(text, starts, at, at + 1, min(overlap, end - bpe.margin))}
+        skip = 0
     return done + current["n"] - skip
 
 
@@ -155,13 +196,15 @@ def counted(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(path)
         for b in batches:
-            out = []
+            out, kept = [], []
             for base, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
                 starts = bpe.starts(text)
-                head, tail = stable(text, starts, base, base + 1, base + overlap), stable(text, starts, base, base + chunk_chars + 1, base + chunk_chars + overlap)
-                bad = (base and not head) or (len(text) > chunk_chars and not tail)
-                out.append(json.dumps({"n": len(starts), "head": head, "tail": tail, "tail_from": base + chunk_chars + 1, "bad": bool(bad)}))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out), b.column(4)], ["id", "n_bytes", "same", "base", "spans", "piece"])
+                head = stable(text, starts, base, base + bpe.margin, base + overlap - bpe.margin) if base else []
+                tail = stable(text, starts, base, base + chunk_chars + bpe.margin, base + len(text) - bpe.margin) if len(text) >= chunk_chars + overlap else []
+                bad = bool((base and not head) or (len(text) > chunk_chars and not tail))
+                out.append(json.dumps({"n": len(starts), "head": head, "tail": tail, "last": last_stable(text, starts, base, base + (bpe.margin if base else 1), base + min(chunk_chars, len(text) - bpe.margin)) if bad else None}))
+                kept.append(text if bad else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out), pa.array(kept, pa.string())], ["id", "n_bytes", "same", "base", "spans", "piece"])
 
     def join(t: pa.Table) -> pa.Table:
         """All chunks of one text, as often as it stands with the same id."""
@@ -173,10 +216,10 @@ def counted(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     sized = src.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     if path.endswith(".model"):
-        out = sized.mapInArrow(short, schema)
+        out = sized.mapInArrow(lean(short), schema)
     else:
         long = F.length("text") > chunk_chars + overlap
         chunk = f"id {key}, n_bytes long, same string, base long"
-        spans = sized.filter(long).mapInArrow(cut, f"{chunk}, piece string").repartition(F.col("same"), F.col("base")).mapInArrow(leaves, f"{chunk}, spans string, piece string")
-        out = sized.filter(~long).mapInArrow(short, schema).unionByName(spans.groupBy("id", "same").applyInArrow(join, schema))
+        spans = sized.filter(long).mapInArrow(lean(cut), f"{chunk}, piece string").repartition(F.col("same"), F.col("base")).mapInArrow(lean(leaves), f"{chunk}, spans string, piece string")
+        out = sized.filter(~long).mapInArrow(lean(short), schema).unionByName(spans.groupBy("id", "same").applyInArrow(join, schema))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

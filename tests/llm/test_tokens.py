@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers as P
 import pytest
@@ -73,6 +74,29 @@ def test_counts_equal_library(spark, frame, size, over):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(x.encode()), n > 50), (x[:80], size)
 
 
+@pytest.mark.parametrize("unit", ["日本語テキスト、これは長い文です。", "aGVsbG8gd29ybGQ0MTI3", "abcdefghij", "กขคงจฉชซ", "x<|endoftext|>", "한국어", "é́", "1"])
+def test_long_texts_without_white_space(spark, unit):
+    """Many chunks whose overlaps hold no white space: counted as the library does, in time that grows with the text."""
+    bpe = token_counts.worker_bpe(WORD)
+    seconds = []
+    for n in (20_000, 160_000):
+        text = unit * (n // len(unit))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        row = token_counts.counted(df, WORD, chunk_chars=2500, overlap=128).first()
+        assert row.n_tokens == len(bpe.tok.encode(text, add_special_tokens=False).ids)
+        parts, size = [], 2500
+        for base in range(0, max(1, len(text) - 128), size):
+            t = text[base : base + size + 128]
+            starts = bpe.starts(t)
+            head = token_counts.stable(t, starts, base, base + bpe.margin, base + 128 - bpe.margin) if base else []
+            tail = token_counts.stable(t, starts, base, base + size + bpe.margin, base + len(t) - bpe.margin)
+            parts.append({"base": base, "text": t, "n": len(starts), "head": head, "tail": tail, "last": token_counts.last_stable(t, starts, base, base + bpe.margin, base + min(size, len(t) - bpe.margin))})
+        began = time.process_time()
+        assert token_counts.splice(bpe, parts) == row.n_tokens
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 40 * max(seconds[0], 0.02)
+
+
 def test_sentencepiece_and_empty(spark, frame):
     import sentencepiece
 
