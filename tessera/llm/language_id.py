@@ -6,11 +6,15 @@ continuation counts below the highest order. The models of all languages lie in
 one for each order, whose rows hold the interpolated log-probability in each language; contexts have arrays of their
 backoff weights. A text's cross-entropy in a language is the mean over its characters and word ends. The lowest wins.
 A text is rejected if it has no letter, or if its cross-entropy lies above its language's threshold, which is
-calibrated on training texts that the models have not seen (a high quantile and a margin).
+calibrated on training texts that the models have not seen (a high quantile and a margin); a language with fewer than `FEW` such texts
+takes the highest threshold of those that have enough, or that of all texts together.
 
 The models are fitted on a bounded sample: each language's texts are taken by hash of the id at a rate that gives
 `per_lang` texts in expectation, a quarter more for calibration. Texts are used whole, in fitting and predicting.
 
+Marks count with the letters of their word; a word of marks alone has no letter. Texts of a language that would all fall to calibration
+are all learned from instead.
+
 Defined cases: null text or one without letters: `und`, score 0, rejected. Ties go to the language first in order.
 With no training rows every text is `und`. Repeated rows and null ids give one row each; other columns are not read.
 """
@@ -22,23 +26,30 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, fresh, held, settle
+from tessera.llm.common import crc_mod, fresh, held, lean, lean_udf, settle
 
 ORDER, PER_LANG, QUANTILE, MARGIN = 4, 800, 0.999, 0.35
 CACHED = 150_000
+#: Calibration texts that a language needs for a threshold of its own.
+FEW = 5
 #: What a text of fewer characters may exceed the threshold by, in nats per root of its length.
 SLACK = 6.0
 NOT_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letters(word: str) -> str:
-    return word.lower() if word.isalpha() else NOT_LETTER.sub("", word.lower())
+    if word.isalpha():
+        return word.lower()
+    bare = NOT_LETTER.sub("", word.lower())
+    return bare if LETTER.search(bare) else ""
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -221,6 +232,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                     counts[lang].update(text.split())
                 else:
                     held.append((lang, text))
+        for lang, text in held:
+            if not any(map(letters, counts[lang])):
+                counts[lang].update(text.split())
         by = {}
         for lang, c in counts.items():
             bare: Counter = Counter()
@@ -233,12 +247,14 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             yield pa.RecordBatch.from_arrays([pa.array([Models({"langs": np.array([], "U1"), "limits": np.array([])}).dump()])], ["blob"])
             return
         m = Models(Models.fitted(by))
-        for i, lang in enumerate(m.langs):
-            h = [x[0][i] for own, text in held if own == lang and (x := m.entropy(text))[1] >= 50]
-            m.limits[i] = np.quantile(h, QUANTILE) + MARGIN if h else np.inf
+        own = {lang: [x[0][i] for name, text in held if name == lang and (x := m.entropy(text))[1] >= 50] for i, lang in enumerate(m.langs)}
+        enough = {lang: np.quantile(h, QUANTILE) + MARGIN for lang, h in own.items() if len(h) >= FEW}
+        pooled = [x for h in own.values() for x in h]
+        rest = max(enough.values()) if enough else np.quantile(pooled, QUANTILE) + MARGIN if pooled else np.inf
+        m.limits[:] = [enough.get(lang, rest) for lang in m.langs]
         yield pa.RecordBatch.from_arrays([pa.array([m.dump()])], ["blob"])
 
-    return sample.select("text", "lang", "part").repartition(1).mapInArrow(run, "blob binary").first().blob
+    return sample.select("text", "lang", "part").repartition(1).mapInArrow(lean(run), "blob binary").first().blob
 
 
 def identified(df: DataFrame, blob: bytes, text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score", "entropy", "rejected")) -> DataFrame:
@@ -246,17 +262,14 @@ def identified(df: DataFrame, blob: bytes, text_col: str = "text", names: tuple[
     settle(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(blob)  # bounded by the sample it was fitted on
 
-    @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
-    def predict(text):
-        import pandas as pd
-
+    def predict(text: pd.Series) -> pd.DataFrame:
         m = worker_models(model.value)
         return pd.DataFrame([m.predict(t or "") for t in text], columns=["lang_pred", "score", "entropy", "rejected"])
 
     out = fresh(df, *names)
     (p,) = fresh(df, "prediction")
     inner = ("lang_pred", "score", "entropy", "rejected")
-    return df.withColumn(p, predict(F.col(text_col))).select(*df.columns, *[F.col(p)[i].alias(o) for i, o in zip(inner, out)])
+    return df.withColumn(p, lean_udf(predict, "lang_pred string, score double, entropy double, rejected boolean")(F.col(text_col))).select(*df.columns, *[F.col(p)[i].alias(o) for i, o in zip(inner, out)])
 
 
 def contract(df: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

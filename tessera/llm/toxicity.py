@@ -18,12 +18,13 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, fresh, held, settle
+from tessera.llm.common import crc_mod, fresh, held, lean, lean_udf, settle
 
 BUCKETS, SAMPLE, MIN_DF, FACTORS, EPOCHS = 1 << 20, 20_000, 4, 4, 8
 #: Least log-likelihood ratio of a term with the label; L1 weight; rate of learning.
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
         order = sorted(range(len(y)), key=lambda i: (len(x[i]), x[i].tobytes(), y[i]))  # the same machine whatever order rows come in
         yield pa.RecordBatch.from_arrays([pa.array([trained([x[i] for i in order], np.asarray([y[i] for i in order], float)).dump()])], ["blob"])
 
-    return texts.mapInArrow(features, "x array<int>, toxic int").repartition(1).mapInArrow(train, "blob binary").first().blob
+    return texts.mapInArrow(lean(features), "x array<int>, toxic int").repartition(1).mapInArrow(lean(train), "blob binary").first().blob
 
 
 def scored(df: DataFrame, blob: bytes, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -161,15 +162,12 @@ def scored(df: DataFrame, blob: bytes, text_col: str = "text", name: str = "scor
     settle(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(blob)  # bounded by BUCKETS
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
+    def score(text: pd.Series) -> pd.Series:
         m = worker_machine(model.value)
         return pd.Series([m.score(t or "") for t in text], dtype="float64")
 
     (out,) = fresh(df, name)
-    return df.withColumn(out, score(F.col(text_col)))
+    return df.withColumn(out, lean_udf(score, "double")(F.col(text_col)))
 
 
 def contract(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -106,3 +106,90 @@ def test_toxicity_edges(spark):
     assert {r.predicted for r in toxicity.contract(docs, labels.limit(0)).collect()} == {0}
     assert {r.predicted for r in toxicity.contract(docs, labels.filter("toxic = 1")).collect()} == {1}
     assert toxicity.contract(docs.limit(0), labels).count() == 0
+
+
+def test_machine_equals_sum_over_pairs(spark):
+    """The score of every text of a table, by a double loop over the pairs of its terms."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    blob = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    m = toxicity.Machine.load(blob)
+    for r in toxicity.scored(docs, blob).collect():
+        buckets = {b for w in (r.text or "").split() for b in toxicity.terms(w) if b >= 0}
+        x = sorted(int(m.place[b]) for b in buckets if m.place[b] >= 0)
+        z = m.w0 + sum(m.w[i] for i in x) + sum(float(m.v[i] @ m.v[j]) for n, i in enumerate(x) for j in x[n + 1 :])
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.clip(z, -30, 30))), rtol=1e-9, atol=1e-12)
+
+
+class Dictionary:
+    """Interpolated Kneser-Ney over strings: no hashes, no arrays."""
+
+    def __init__(self, counts, alphabet):
+        from collections import Counter, defaultdict
+
+        top = Counter()
+        for w, n in counts.items():
+            padded = "\x02\x02\x02" + w + "\x03"
+            for i in range(3, len(padded)):
+                top[padded[i - 3 : i + 1]] += n
+        self.c = {4: top}
+        for k in (3, 2, 1):
+            self.c[k] = Counter(g[1:] for g in self.c[k + 1])
+        self.floor, self.d, self.total, self.kinds = 1 / (len(alphabet) + 1), {}, {}, {}
+        for k, c in self.c.items():
+            n1, n2 = (sum(v == r for v in c.values()) for r in (1, 2))
+            self.d[k] = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
+            self.total[k], self.kinds[k] = defaultdict(int), defaultdict(int)
+            for g, v in c.items():
+                self.total[k][g[:-1]] += v
+                self.kinds[k][g[:-1]] += 1
+
+    def p(self, gram, k=4):
+        if k == 0:
+            return self.floor
+        low, g = self.p(gram, k - 1), gram[-k:]
+        total = self.total[k].get(g[:-1], 0)
+        if not total:
+            return low
+        return (max(self.c[k][g] - self.d[k], 0) if self.c[k][g] else 0) / total + self.d[k] * self.kinds[k][g[:-1]] / total * low
+
+    def log_p(self, w):
+        padded = "\x02\x02\x02" + w + "\x03"
+        return sum(np.log(self.p(padded[i - 3 : i + 1])) for i in range(3, len(padded)))
+
+
+def test_kneser_ney_equals_dictionary():
+    from collections import Counter
+
+    texts = {"a": "the house of the thin man in the hat those these them he", "b": "das haus der dünnen männer in dem hut diese jene den er", "c": "la maison de l homme mince au chapeau ces celles ils"}
+    counts = {k: Counter(v.split()) for k, v in texts.items()}
+    m = language_id.Models(language_id.Models.fitted(counts))
+    alphabet = {"\x03"}.union(*(set(v.replace(" ", "")) for v in texts.values()))
+    brute = {k: Dictionary(v, alphabet) for k, v in counts.items()}
+    words = [*" ".join(texts.values()).split(), "thus", "zebra", "ümlaut", "x", "日本", "hhhhhh"]
+    got, sizes = m.log_probs(words)
+    assert np.allclose(got, [[brute[k].log_p(w) for k in m.langs] for w in words], rtol=1e-9) and (sizes == [len(w) + 1 for w in words]).all()
+
+
+def test_foreign_texts_are_rejected_and_clean_ones_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    blob = language_id.fit(docs)
+    foreign = [
+        "Tämä on pitkä suomenkielinen teksti, jossa kerrotaan siitä, miten ihmiset kävelevät metsässä ja katselevat järven tyyntä pintaa.",
+        "Ten tekst został napisany po polsku, żeby sprawdzić, czy program potrafi odrzucić języki, których nigdy wcześniej nie widział.",
+        "Эта строка написана по-русски и не похожа ни на один из изученных языков, поэтому её следует отвергнуть.",
+        "これは日本語で書かれた長い文章であり、学習された言語のどれにも似ていません。",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert all(r.rejected for r in language_id.identified(df, blob).collect())
+    marks = spark.createDataFrame([(1, "\u0301\u0302 \u0303"), (2, "1 \u0301 ?"), (3, None)], "doc_id long, text string")
+    assert {(r.lang_pred, r.score, r.rejected) for r in language_id.identified(marks, blob).collect()} == {("und", 0.0, True)}
+    assert language_id.identified(docs, blob).filter("rejected and lang is not null").count() < 0.01 * docs.count()
+
+
+def test_a_rare_language_takes_the_others_threshold(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-1, "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt", "xx")], docs.schema)
+    m = language_id.Models.load(language_id.fit(docs.union(rare)))
+    assert "xx" in m.langs and np.isfinite(m.limits).all()
+    assert m.limits[m.langs.index("xx")] == max(x for n, x in zip(m.langs, m.limits) if n != "xx")
