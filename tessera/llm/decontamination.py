@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, held, settle, table
+from tessera.llm.common import fresh, held, lean, lean_udf, settle, table
 
 RATE, BLOCK_CHARS = 0.05, 2_000_000
 
@@ -141,52 +142,54 @@ def worker_finder(items: tuple, rate: float) -> Finder:
     return held(("finder", items, rate), lambda: Finder(list(items), rate))
 
 
+def blocks_of(items: DataFrame, item_text: str, block_chars: int) -> Iterator[tuple]:
+    """The items' distinct plain-cased texts, in blocks of about block_chars characters."""
+    texts = items.select(F.lower(item_text).alias("t")).filter(F.trim("t") != "").distinct()
+    total = texts.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    for k in range(blocks):
+        mine = texts.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else texts
+        yield tuple(sorted((r.t, r.t) for r in mine.collect()))  # a block of bounded size: texts are distinct, so hashing spreads them
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows (doc_id, item_id, start, end, distance): start and end are code points of the document's text."""
+    """Rows (doc_id, item_id, start, end, distance): start and end are code points of the document's text. Ids of any type; items that repeat are
+    sought once."""
     spark = docs.sparkSession
     settle(spark)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
+    kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter(F.trim("t") != "")
-    total = chosen.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     out = None
-    for k in range(blocks):
-        mine = chosen.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else chosen
-        shared = spark.sparkContext.broadcast(tuple(sorted((tuple(r) for r in mine.collect()), key=str)))  # a block of bounded size
+    for block in blocks_of(items, item_text, block_chars):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = worker_finder(shared.value, rate)
             for b in batches:
-                rows = [(key, *m) for key, text in zip(b.column(0), b.column(1).to_pylist()) for m in finder.find(text)]
-                columns = list(zip(*rows)) or [[]] * 5
-                types = [b.schema.field(0).type, pa.int64() if item_kind.typeName() != "string" else pa.string(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in columns[0]], types[0]), *(pa.array(list(c), t) for c, t in zip(columns[1:], types[1:]))], ["doc_id", "item_id", "start", "end", "distance"])
+                found = [(i, *m) for i, text in enumerate(b.column(1).to_pylist()) for m in finder.find(text)]
+                at, *columns = list(zip(*found)) or [[]] * 5
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(list(at), pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, types))], ["doc_id", "t", "start", "end", "distance"])
 
-        part = src.mapInArrow(run, f"doc_id {kind}, item_id {'string' if item_kind.typeName() == 'string' else 'long'}, start long, end long, distance int")
+        part = src.mapInArrow(lean(run), f"doc_id {kind}, t string, start long, end long, distance int")
         out = part if out is None else out.unionByName(part)
-    return out
+    named = items.select(F.col(item_col).alias("item_id"), F.lower(item_text).alias("t"))
+    return out.join(named, "t").select("doc_id", "item_id", "start", "end", "distance")
 
 
 def flagged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, name: str = "n_leaks") -> DataFrame:
-    """docs with one more column: the number of matches of any item in the row's text (underscores are added while the name is taken)."""
+    """docs with one more column: the number of matches of any distinct item in the row's text (underscores are added while the name is taken)."""
     spark = docs.sparkSession
     settle(spark)
-    chosen = items.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter(F.trim("t") != "")
-    blocks = max(1, -(-(chosen.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
     total = F.lit(0)
-    for k in range(blocks):
-        mine = chosen.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else chosen
-        shared = spark.sparkContext.broadcast(tuple(sorted((tuple(r) for r in mine.collect()), key=str)))  # a block of bounded size
-
-        @F.pandas_udf("int")
-        def count(text, shared=shared):
-            import pandas as pd
+    for block in blocks_of(items, item_text, block_chars):
+        shared = spark.sparkContext.broadcast(block)
 
+        def count(text: pd.Series, shared=shared) -> pd.Series:
             finder = worker_finder(shared.value, rate)
             return pd.Series([len(finder.find(t or "")) for t in text], dtype="int32")
 
-        total = total + count(F.col(text_col))
+        total = total + lean_udf(count, "int")(F.col(text_col))
     (out,) = fresh(docs, name)
     return docs.withColumn(out, total)
 

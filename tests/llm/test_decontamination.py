@@ -66,6 +66,21 @@ def test_edges(spark):
     assert D.clean(docs, items.limit(0)).count() == 9 and D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_repeated_items_and_ids_of_any_type(spark):
+    import datetime
+    import decimal
+
+    item = "a passage of the benchmark that is long enough to allow for two or three edits"
+    day = datetime.date(2024, 1, 2)
+    items = spark.createDataFrame([(day, item)] * 2000 + [(day, item.upper())], "item_id date, text string")
+    docs = spark.createDataFrame([(decimal.Decimal("1.50"), "x " + item), (None, "clean")], "doc_id decimal(4,2), text string")
+    blocks = list(D.blocks_of(items, "text", 100))
+    assert sum(map(len, blocks)) == 1
+    rows = D.leaks(docs, items, block_chars=100).collect()
+    assert len(rows) == 2001 and {(r.doc_id, r.item_id) for r in rows} == {(decimal.Decimal("1.50"), day)}
+    assert [r.doc_id for r in D.clean(docs, items).collect()] == [None]
+
+
 def test_table(spark):
     sf = "/root/testdata/sf0.01"
     got = {(r.doc_id, r.item_id) for r in D.op9(spark, sf).collect()}
