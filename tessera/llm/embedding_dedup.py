@@ -1,16 +1,17 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 A vector is padded to a power of two, and rotated by three rounds of random signs and the fast Hadamard transform; its
-hash is the nearest vertex of the cross-polytope (the largest coordinate and its sign). A bucket is the vertices of
-`ROTATIONS` rotations; there are `TABLES` independent tables. In each table a vector lies in its own bucket and asks also in the
-`PROBES` next ones, which change to further vertices where the coordinates' gap is least. Vectors of one label that meet are
-candidates; each pair is verified once by its cosine in double precision.
+hash is the nearest vertex of the cross-polytope (the largest coordinate and its sign). A bucket is the vertices of some rotations; there
+are independent tables. In each table a vector lies in its own bucket and asks also in the next ones (probes), which change to further
+vertices where the coordinates' gap is least. Vectors of one label that meet are candidates; each pair is verified once by its cosine in
+double precision. A label with more vectors takes more rotations, so that buckets stay small and candidates follow the number of vectors;
+tables and probes by rotations (`PLANS`) were chosen by measured recall.
 
 Equal vectors of a label form a class, which takes part once with its number of copies. Rows carry a vector's buckets in all tables,
 so that a pair which shares several makes a candidate in the first alone. Buckets are joined by equality; none is
 gathered in a task, and adaptive joins split a crowded one.
 
-Recall is measured in the tests against brute force: with the production parameters above 0.99 of pairs at the threshold itself.
+Recall is measured in the tests against brute force: with the production parameters above 0.995 of pairs at the threshold itself.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do those whose label
 is null; vectors of different lengths don't link. Repeated rows, also of one vec_id, are vectors of their own, and
@@ -23,14 +24,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table, written
+from tessera.llm.common import lean_alone, lean_udf, settle, table, written
 from tessera.llm.graph import components
 
-THRESHOLD, TABLES, ROTATIONS, PROBES, SEED = 0.93, 10, 2, 12, 17
+THRESHOLD, SEED = 0.93, 17
+#: Tables and probes by the number of rotations.
+PLANS = {2: (5, 7), 3: (6, 24), 4: (8, 32)}
+#: Vectors of a label that a vector is expected to meet in its buckets, were vectors spread evenly; beyond that, another rotation.
+MEET = 100
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -96,63 +101,85 @@ def prepared(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> Dat
                 keys.append(None if a is None else xxhash.xxh3_128_digest(label.encode() + b"\0" + raw[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), b.column(1), pa.array(raw, pa.binary())], ["vec_id", "key", "label", "vector"])
 
-    return src.mapInArrow(run, f"vec_id {kind}, key binary, label string, vector binary")
+    return src.mapInArrow(lean_alone(run), f"vec_id {kind}, key binary, label string, vector binary")
 
 
-def hashed(classes: DataFrame, tables: int, rotations: int, probes: int, seed: int) -> DataFrame:
+def rotations_of(n: int | Column, vertices: int | Column) -> Column:
+    """Rotations for n vectors of one label whose polytope has so many vertices."""
+    n, vertices = (x if isinstance(x, Column) else F.lit(x) for x in (n, vertices))
+    few = F.lit(max(PLANS))
+    for r in sorted(PLANS, reverse=True)[1:]:
+        few = F.when(n * PLANS[r][0] * (PLANS[r][1] + 1) <= MEET * F.pow(vertices.cast("double"), r), r).otherwise(few)
+    return few.cast("int")
+
+
+def hashed(classes: DataFrame, seed: int) -> DataFrame:
     """(key, label, own array<long>, places array<long>): own buckets by table; places: all probes by table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
-                raw = b.column(2).to_pylist()
-                size = np.array([len(r) for r in raw])
-                own, places = np.zeros((len(raw), tables), np.int64), np.zeros((len(raw), tables * (probes + 1)), np.int64)
-                for s in np.unique(size):
-                    rows = np.flatnonzero(size == s)
-                    x = np.stack([np.frombuffer(raw[i], np.float64) for i in rows])
-                    x = x / np.abs(x).max(1)[:, None]
-                    got = buckets(x / np.sqrt((x * x).sum(1))[:, None], tables, rotations, probes, seed) * 1024 + s // 8 % 1024
-                    own[rows], places[rows] = got[:, :, 0], got.reshape(len(rows), -1)
-                lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.reshape(-1)), m.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(own), lists(places)], ["key", "label", "own", "places"])
-
-    return classes.select("key", "label", "vector").mapInArrow(run, "key binary, label string, own array<long>, places array<long>")
-
-
-@F.pandas_udf(T.DoubleType())
-def cosines(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: bytes, y: bytes) -> float:
-        if len(x) != len(y):
-            return -1.0
-        u, v = np.frombuffer(x, np.float64), np.frombuffer(y, np.float64)
-        return float(u @ v / np.sqrt(u @ u) / np.sqrt(v @ v))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def links_of(classes: DataFrame, threshold: float, tables: int, rotations: int, probes: int, seed: int) -> DataFrame:
-    """Links (a, b, cosine), a < b, between classes (key, label, vector)."""
-    at = written(hashed(classes, tables, rotations, probes, seed), "buckets")
+        for b in batches:
+            raw = b.column(2).to_pylist()
+            size, turns = np.array([len(r) for r in raw], np.int64), b.column(3).to_numpy()
+            own, places = [None] * len(raw), [None] * len(raw)
+            for s, r in {*zip(size.tolist(), turns.tolist())}:
+                rows = np.flatnonzero((size == s) & (turns == r))
+                x = np.stack([np.frombuffer(raw[i], np.float64) for i in rows])
+                x = x / np.abs(x).max(1)[:, None]
+                got = buckets(x / np.sqrt((x * x).sum(1))[:, None], PLANS[r][0], r, PLANS[r][1], seed) * 1024 + s // 8 % 1024
+                for i, g in zip(rows, got):
+                    own[i], places[i] = g[:, 0], g.reshape(-1)
+            lists = lambda m: pa.array(m, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(own), lists(places)], ["key", "label", "own", "places"])
+
+    sized = classes.select("key", "label", "vector", F.octet_length("vector").alias("size"))
+    most = sized.groupBy("label", "size").agg(F.count("*").alias("n"))
+    vertices = 2 * F.pow(F.lit(2), F.greatest(F.lit(1), F.ceil(F.log2(F.col("size") / 8))))
+    turned = sized.join(most, ["label", "size"]).select("key", "label", "vector", rotations_of(F.col("n"), vertices).alias("turns"))
+    return turned.mapInArrow(lean_alone(run), "key binary, label string, own array<long>, places array<long>")
+
+
+def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """-1 for vectors of different lengths."""
+    size, other = a.str.len().to_numpy(np.int64), b.str.len().to_numpy(np.int64)
+    out = np.full(len(a), -1.0)
+    for s in np.unique(size):
+        rows = np.flatnonzero((size == s) & (other == s))
+        u, v = (np.frombuffer(b"".join(c.iloc[rows]), np.float64).reshape(len(rows), -1) for c in (a, b))
+        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+        out[rows] = dot(u, v) / np.sqrt(dot(u, u)) / np.sqrt(dot(v, v))
+    return pd.Series(out)
+
+
+cosines = lean_udf(cosine, T.DoubleType())
+
+
+def candidates(classes: DataFrame, seed: int = SEED) -> DataFrame:
+    """Pairs (a, b), a < b, of classes (key, label, vector) that meet in a bucket, each once."""
+    at = written(hashed(classes, seed), "buckets")
     base = at.select("key", "label", "own", F.posexplode("own").alias("t", "bucket"))
-    asks = at.select("key", "label", "own", F.posexplode("places").alias("i", "bucket")).withColumn("t", F.expr(f"cast(i div {probes + 1} as int)")).drop("i").distinct()
+    each = (F.size("places") / F.size("own")).cast("int")
+    asks = at.select("key", "label", "own", each.alias("each"), F.posexplode("places").alias("i", "bucket")).withColumn("t", F.expr("cast(i div each as int)")).drop("i", "each").distinct()
     met = asks.select(F.col("key").alias("x"), "label", "t", "bucket", F.col("own").alias("ox")).join(base.select(F.col("key").alias("y"), "label", "t", "bucket", F.col("own").alias("oy")), ["label", "t", "bucket"]).filter("x != y")
     shared = F.exists(F.zip_with("ox", "oy", lambda p, q: p == q), lambda e: e)
     first = F.array_position(F.zip_with("ox", "oy", lambda p, q: p == q), True) - 1
     # vectors that share own buckets make their candidate in the first of them, once; others where a probe finds them
     once = (shared & (first == F.col("t")) & (F.col("x") < F.col("y")) & (F.element_at("ox", F.col("t") + 1) == F.col("bucket"))) | ~shared
-    pairs = met.filter(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.filter(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links_of(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """Links (a, b, cosine), a < b, between classes (key, label, vector)."""
     one, two = (classes.select(F.col("key").alias(k), F.col("vector").alias(f"v{k}")) for k in "ab")
-    found = pairs.join(one, "a").join(two, "b").withColumn("cosine", cosines("va", "vb"))
+    found = candidates(classes, seed).join(one, "a").join(two, "b").withColumn("cosine", cosines("va", "vb"))
     return written(found.filter(F.col("cosine") >= threshold).select("a", "b", "cosine"), "near")
 
 
-def deduplicated(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, rotations: int = ROTATIONS, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of all rows of df."""
+    settle(df.sparkSession)
     rows = written(prepared(df, id_col, vector_col, label_col), "vectors")
     classes = written(rows.filter("key is not null").groupBy("key").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("first")), "classes")
-    links = links_of(classes, threshold, tables, rotations, probes, seed)
+    links = links_of(classes, threshold, seed)
     both = links.select("a", "b").union(links.select("b", "a"))
     others = both.join(classes.select(F.col("key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("others"))
     labels = components(links).select(F.col("v").alias("key"), F.col("label").alias("root"))
