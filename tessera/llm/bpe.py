@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, settle
+from tessera.llm.common import held, lean, settle
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FIND = regex.compile(PATTERN).findall
@@ -281,11 +281,11 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         return pa.Table.from_batches([packed(t.column("id").combine_chunks().slice(0, 1), [ids], [bpe.decode(ids)])] * times)
 
     long = F.length("text") > chunk_chars
-    near = src.filter(~long).mapInArrow(short, schema)
-    pieces = src.filter(long).mapInArrow(cut, f"id {kind_of}, same string, seq int, hard boolean, piece string")
+    near = src.filter(~long).mapInArrow(lean(short), schema)
+    pieces = src.filter(long).mapInArrow(lean(cut), f"id {kind_of}, same string, seq int, hard boolean, piece string")
     far = (
         pieces.repartition(F.col("same"), F.col("seq"))
-        .mapInArrow(leaves, f"id {kind_of}, same string, seq int, hard boolean, tokens binary")
+        .mapInArrow(lean(leaves), f"id {kind_of}, same string, seq int, hard boolean, tokens binary")
         .groupBy("id", "same")
         .applyInArrow(join, schema)
     )
@@ -319,7 +319,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [None if x is None else bpe.decode(np.asarray(x, np.int32)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind_of}, text string")
+    return df.select(id_col, ids_col).mapInArrow(lean(run), f"`{id_col}` {kind_of}, text string")
 
 
 def digests(df: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh, settle, table, written
+from tessera.llm.common import drop, fresh, lean_alone, lean_udf, settle, table, unused, written
 from tessera.llm.graph import components
 
 SHINGLE, PERCENT = 5, 90
 #: Shingles that come last in the order: those counted most often, and how often in some bytes of sets counts.
 HOT, HOT_LOCAL, HOT_BYTES = 500_000, 3, 8 << 20
-#: Regions of more sets are split around documents of their own, so many times at most.
-REGION, DEPTH = 256, 4
+#: Regions of more sets are split around documents of their own, while that leaves at most this share of a region's sets together.
+REGION, SHRINK = 256, 0.8
 #: Most class keys in a table that is broadcast for filtering sets (32 MB); larger tables are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 CACHED = 200_000
@@ -96,7 +96,7 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> Data
                 keys = [xxhash.xxh3_128_digest(r) if r else None for r in raw]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "key", "n", "hashes"])
 
-    return df.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, key binary, n int, hashes binary")
+    return df.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(lean_alone(run), f"doc_id {kind}, key binary, n int, hashes binary")
 
 
 def hot_shingles(sets: DataFrame) -> np.ndarray:
@@ -119,7 +119,7 @@ def hot_shingles(sets: DataFrame) -> np.ndarray:
                 held, size = [], 0
         yield counted()
 
-    rows = sets.select("hashes").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(HOT).select("s")
+    rows = sets.select("hashes").mapInArrow(lean_alone(run), "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(HOT).select("s")
     found = np.concatenate([c.to_numpy() for c in rows.toArrow()["s"].chunks] or [np.zeros(0, np.int64)]).view(np.uint64)
     return found[::-1].copy()
 
@@ -150,7 +150,7 @@ def windows(sets: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))), pa.array(profiles, pa.binary())], ["key", "n", "window", "profile"])
 
-    return sets.select("key", "n", "hashes").filter("key is not null").mapInArrow(run, "key binary, n int, window array<long>, profile binary")
+    return sets.select("key", "n", "hashes").filter("key is not null").mapInArrow(lean_alone(run), "key binary, n int, window array<long>, profile binary")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -166,25 +166,21 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-@F.pandas_udf(T.DoubleType())
-def distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="float64")
+def sets_in(c: pd.Series) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x, np.uint64) for x in c)
 
 
-@F.pandas_udf(T.IntegerType())
-def overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype="int32")
+distances = lean_udf(lambda a, b: pd.Series([distance(x, y) for x, y in zip(sets_in(a), sets_in(b))], dtype="float64"), T.DoubleType())
+overlaps = lean_udf(lambda a, b: pd.Series([shared(x, y) for x, y in zip(sets_in(a), sets_in(b))], dtype="int32"), T.IntegerType())
+differences = lean_udf(lambda a, b: pd.Series([np.setxor1d(x, y, assume_unique=True).tobytes() for x, y in zip(sets_in(a), sets_in(b))]), T.BinaryType())
 
 
-@F.pandas_udf(T.LongType())
-def gaps(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, PROFILE).astype(np.int64) for c in (a, b))
-    return pd.Series(np.abs(x - y).sum(1))
+def profile_gaps(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, PROFILE).astype(np.int32) for c in (a, b))
+    return pd.Series(np.abs(x - y).sum(1, dtype=np.int64))
 
 
-@F.pandas_udf(T.BinaryType())
-def differences(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(a, b)])
+gaps = lean_udf(profile_gaps, T.LongType())
 
 
 def kept_sets(sets: DataFrame, keys: DataFrame) -> DataFrame:
@@ -201,27 +197,27 @@ def split_regions(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A region's pivot is its smallest key. Its sets go to the band of their distance to the pivot, and to the following
     bands as far as theta reaches: two sets within theta of each other differ by theta at most in that distance, so they
-    meet. Bands that are still large are split again around their own pivots, up to DEPTH times."""
+    meet. Bands that are still large are split again around their own pivots, until they are small or a split leaves more than SHRINK of
+    them together: such sets lie all about as far from each other, and are left to sizes, places and profiles."""
     theta = 1 - percent / 100
-    done = []
-    for _ in range(DEPTH):
-        crowd = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("key").alias("pivot"))
-        large = written(crowd.filter(F.col("m") > REGION), "regions")
+    done, rows = [], rows.withColumn("before", F.lit(1 << 62))
+    while True:
+        crowd = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("key").alias("pivot"), F.min("before").alias("before"))
+        large = written(crowd.filter((F.col("m") > REGION) & (F.col("m") <= F.col("before") * SHRINK)), "regions")
         if large.isEmpty():
             break
         done.append(rows.join(large.select("region"), "region", "left_anti"))
-        inside = rows.join(large.select("region", "pivot"), "region")
+        inside = rows.drop("before").join(large.select("region", "pivot", "m"), "region")
         held = written(kept_sets(sets, inside.select("key")), "region-sets")
         to = held.select(F.col("key").alias("pivot"), F.col("hashes").alias("q"))
         near = inside.select("key", "pivot").distinct().join(held, "key").join(to, "pivot").select("key", "pivot", distances("hashes", "q").alias("d"))
         first, last = F.floor(F.col("d") / theta), F.floor((F.col("d") + theta + 1e-9) / theta)
-        rows = written(
-            inside.join(near, ["key", "pivot"]).select(F.explode(F.sequence(first, last)).alias("band"), "region", "pivot", "key", "n", "pos").select(F.xxhash64("region", "pivot", "band").alias("region"), "key", "n", "pos"),
-            "regions",
-        )
+        split = inside.join(near, ["key", "pivot"]).select(F.explode(F.sequence(first, last)).alias("band"), "region", "pivot", "key", "n", "pos", "m")
+        rows = written(split.select(F.xxhash64("region", "pivot", "band").alias("region"), "key", "n", "pos", F.col("m").alias("before")), "regions")
+        drop(held)
     for d in done:
         rows = rows.unionByName(d)
-    return rows
+    return rows.drop("before")
 
 
 def candidates(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +243,10 @@ def links_of(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     hot = hot_shingles(sets)
     classes = written(windows(sets, hot, percent).groupBy("key").agg(F.first("n").alias("n"), F.first("window").alias("window"), F.first("profile").alias("profile")), "classes")
     pairs = written(possible(candidates(classes, sets, percent), classes, percent), "candidates")
-    return written(verified(pairs, sets, percent), "similar"), classes
+    unused(sets.sparkSession)
+    links = written(verified(pairs, sets, percent), "similar")
+    drop(pairs)
+    return links, classes
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -329,12 +328,11 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = twice.select(F.col("doc_id").alias(i))
     odd = df.filter(F.col(id_col).isNotNull()).join(F.broadcast(named) if few else named, df[id_col] == F.col(i), "left_semi").unionByName(df.filter(F.col(id_col).isNull()))
 
-    @F.pandas_udf(T.BinaryType())
     def key_of(text: pd.Series) -> pd.Series:
         maker = Shingles(k)
         return pd.Series([xxhash.xxh3_128_digest(s.tobytes()) if len(s := maker.of(t or "")) else None for t in text])
 
-    keyed = odd.withColumn(key, key_of(F.col(text_col)))
+    keyed = odd.withColumn(key, lean_udf(key_of, "binary")(F.col(text_col)))
     chosen = stays.select(F.col("doc_id").alias(i), F.col("key").alias("key_"))
     one = keyed.filter(F.col(key).isNotNull()).dropDuplicates([id_col, key]).join(chosen, keyed[id_col].eqNullSafe(F.col(i)) & (keyed[key] == F.col("key_")), "left_semi")
     return clear.unionByName(one.select(*df.columns)).unionByName(keyed.filter(F.col(key).isNull()).select(*df.columns))

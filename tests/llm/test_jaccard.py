@@ -61,6 +61,20 @@ def test_equals_brute_force(spark, monkeypatch, region):
     assert J.joined(df.limit(0)).count() == 0
 
 
+def test_a_chain_and_shared_boilerplate(spark, monkeypatch):
+    """One component that a long chain of near copies makes, and hundreds of sets that share most of their words but don't link."""
+    monkeypatch.setattr(J, "REGION", 16)
+    words = [f"c{i}" for i in range(1200)]
+    chain = [words[4 * i : 4 * i + 200] for i in range(150)]
+    plate = [f"p{i}" for i in range(160)]
+    shared = [plate + [f"u{i}-{j}" for j in range(30)] for i in range(300)] + [plate + [f"v{i}" for i in range(8)] + [f"t{j}"] * (j % 2) for j in range(60)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(chain + shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in J.joined(df).collect()), key=str)
+    want = brute(rows)
+    assert got == want and sum(r[3] == 0 for r in want) == 150 and sum(r[2] == 0 for r in want) >= 300
+
+
 def test_hot_order_changes_nothing(spark, monkeypatch):
     rows = corpus(40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
