@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, settle, table, written
+from tessera.llm.common import crc_mod, drop, lean_alone, settle, table, trim, unused, written
 
 K = 7
 BLOCK_TOKENS, PARTITION_KEYS = 2_000_000, 2_000_000
@@ -161,7 +161,7 @@ def blocks_of(df: DataFrame, id_col: str, text_col: str, held: Column, block_tok
         if parts:
             yield block(key_type)
 
-    return src.mapInArrow(run, f"{BLOCK}, ids array<{kind}>")
+    return src.mapInArrow(lean_alone(run), f"{BLOCK}, ids array<{kind}>")
 
 
 class Grams:
@@ -261,7 +261,7 @@ def requests(blocks: DataFrame, pairs: bool, partitions: int) -> DataFrame:
                     keys, counts = block.unigrams()
                 yield from request_table(cut_rows(name, keys, counts, partitions)).to_batches()
 
-    return blocks.select("block", "words", "tokens", "sizes", "held").mapInArrow(run, REQUEST)
+    return blocks.select("block", "words", "tokens", "sizes", "held").mapInArrow(lean_alone(run), REQUEST)
 
 
 def open_requests(blocks: DataFrame, tables: list[DataFrame], partitions: int) -> DataFrame:
@@ -366,7 +366,7 @@ def block_scores(blocks: DataFrame, tables: list[DataFrame], one: Unigrams, disc
             with_ = np.flatnonzero((left_ > 0) & ~below_alone)
             keys = below_keys[with_]
             cuts = cut_by_partition(keys, parts)
-            out += [("sums", g.order, i, name, None, packed_keys(keys[a:z]), packed(left_[with_[a:z]].astype(np.float32)), packed(seen_[with_[a:z]].astype(np.float32)), None, None) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+            out += [("sums", g.order, i, name, None, packed_keys(keys[a:z]), packed(left_[with_[a:z]]), packed(seen_[with_[a:z]]), None, None) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
             p = np.where(seen, kept / c_h, 1.0)
             value[g.at] = np.where(seen[g.of], np.log10(p)[g.of], value[g.at])
             lacking = np.flatnonzero(~seen[g.of] & (below_c[g.h] > 0)[g.of])
@@ -397,8 +397,8 @@ def backoff(rows: DataFrame) -> DataFrame:
         sums = [r for r in d if r["kind"] == "sums"]
         keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked_keys(r["keys"]) for r in sums)])
         one, inverse = np.unique(keys, return_inverse=True)
-        left = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["left"], np.float32) for r in sums)]), len(one))
-        seen = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["seen"], np.float32) for r in sums)]), len(one))
+        left = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["left"], np.float64) for r in sums)]), len(one))
+        seen = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["seen"], np.float64) for r in sums)]), len(one))
         weight = np.log10(left) - np.log10(np.maximum(1 - seen, 1e-12))
         out = []
         for r in d:
@@ -414,13 +414,6 @@ def backoff(rows: DataFrame) -> DataFrame:
     return parts.groupBy("order", "part").applyInArrow(run, "block string, i int, backoff double").groupBy("block", "i").agg(F.sum("backoff").alias("backoff"))
 
 
-def unused(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written: else they stay until the driver collects its garbage."""
-    gc.collect()
-    if jvm := getattr(getattr(spark, "_sc", None), "_jvm", None):
-        jvm.System.gc()
-
-
 def scored(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, partition_keys: int = PARTITION_KEYS, order: int = 2) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held: rows that are scored, but not learned from; order: of the
     longest n-grams, 2 at least."""
@@ -437,9 +430,10 @@ def scored(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     one = Unigrams(int(s1[0]), int(s1[1]), s1[2:])
     unused(df.sparkSession)
     rows = written(block_scores(blocks, tables, one, [Discounts(s[2:]) for s in more], [few, many, *[most] * order]), "block-scores")
-    unused(df.sparkSession)
-    docs = rows.filter("kind = 'docs'").select("block", F.inline("docs"))
     names = blocks.select("block", F.posexplode(F.arrays_zip("ids", "held")).alias("i", "x")).select("block", "i", F.col("x.ids").alias("id"), F.col("x.held").alias("held_out"))
+    names = written(names, "names")
+    drop(blocks, *tables)
+    docs = rows.filter("kind = 'docs'").select("block", F.inline("docs"))
     return (
         names.join(docs, ["block", "i"])
         .join(backoff(rows), ["block", "i"], "left")
