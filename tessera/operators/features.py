@@ -1,23 +1,31 @@
 """Label vectors from intervals, word lists, transcripts, folds."""
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def to_ascii(c: pd.Series) -> pd.Series:
+    return c.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
 def clean_transcript(c: Column) -> Column:
-    """Upper case without punctuation other than the apostrophe, and without what isn't ASCII."""
-    return F.upper(F.regexp_replace(F.regexp_replace(c, r"[^\x00-\x7F]", ""), r"[!-&(-/:-@\[-`{-~]", ""))
+    """Upper case without ASCII punctuation other than the apostrophe; letters with marks lose them, what else isn't ASCII goes."""
+    return F.pandas_udf(to_ascii, T.StringType())(F.upper(F.regexp_replace(c, r"[!-&(-/:-@\[-`{-~]", "")))
 
 
 def word_ids(df: DataFrame, token: str, *order: str) -> DataFrame:
-    """(token, id): tokens numbered from 1 by first appearance; 'sp' is -1."""
-    first = df.filter(F.col(token) != "sp").groupBy(token).agg(F.min(F.struct(*order)).alias("_f"))
+    """(token, id): tokens without digits, numbered from 1 by first appearance; 'sp' is -1."""
     from tessera.operators.grains import numbered
 
-    flat = first.select(token, *[F.col(f"_f.{o}").alias(o) for o in order])
-    return numbered(flat, *order, token, name="id").select(token, (F.col("id") + 1).alias("id"))
+    bare = df.withColumn(token, F.regexp_replace(token, "[0-9]", ""))
+    first = bare.groupBy(token).agg(F.min(F.struct(*order)).alias("_f"))
+    flat = first.filter(F.col(token) != "sp").select(token, *[F.col(f"_f.{o}").alias(o) for o in order])
+    words = numbered(flat, *order, token, name="id").select(token, (F.col("id") + 1).alias("id"))
+    return words.unionByName(first.filter(F.col(token) == "sp").select(token, F.lit(-1).cast("long").alias("id")))
 
 
 def label_vector(intervals: DataFrame, fs: float, before: float = 0.0) -> DataFrame:
@@ -42,7 +50,10 @@ def sanitize(c: Column) -> Column:
     return F.translate(c, " -", "__")
 
 
-def crop_events(events: DataFrame, before: float, after: float, end: float) -> DataFrame:
-    """(trial_id, seq, start, stop): from each onset to the next one and after, within the recording."""
+def crop_events(events: DataFrame, before: float, after: float, end: float, fs: float) -> DataFrame:
+    """(trial_id, seq, start, stop): from each onset to the next one and after, within the recording; starts less than half the sampling rate
+    (in seconds, as numbers) below 0 are 0."""
     nxt = F.lead("onset").over(Window.partitionBy("trial_id").orderBy("seq"))
-    return events.select("trial_id", "seq", (F.col("onset") - before).alias("start"), F.least(F.coalesce(nxt + after, F.lit(end)), F.lit(end)).alias("stop"))
+    start = F.col("onset") - before
+    start = F.when((start < 0) & (start > -fs / 2), 0.0).otherwise(start)
+    return events.select("trial_id", "seq", start.alias("start"), F.least(F.coalesce(nxt + after, F.lit(end)), F.lit(end)).alias("stop"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: Sites of a leaf; leaves of the tree at most, and sampled sites a leaf it is split by; points of a task.
 LEAF, LEAVES, SAMPLED, TASK_POINTS = 2_000, 1 << 15, 32, 100_000
 AFFINE = {
-    "to_average": [[0.9975, -0.0073, 0.0176, -0.0429], [0.0146, 1.0009, -0.0024, 1.5496], [-0.0130, -0.0093, 0.9971, 1.1840]],
-    "to_mni": [[1.0022, 0.0071, -0.0177, 0.0528], [-0.0146, 0.9990, 0.0027, -1.5519], [0.0129, 0.0094, 1.0027, -1.2012]],
+    "to_average": [[1.0022, 0.0071, -0.0177, 0.0528], [-0.0146, 0.9990, 0.0027, -1.5519], [0.0129, 0.0094, 1.0027, -1.2012]],
+    "to_mni": [[0.9975, -0.0073, 0.0176, -0.0429], [0.0146, 1.0009, -0.0024, 1.5496], [-0.0130, -0.0093, 0.9971, 1.1840]],
 }
 
 

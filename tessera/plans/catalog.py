@@ -139,11 +139,14 @@ FDR = "with {pv}, r as (select id, p, row_number() over (order by p, id) as k, c
 query("fdr_bh", FDR.format(pv=PV, scale="1"))(lambda s, d: six(signals.fdr(p_values(s, d)), "q").select("id", "q"))
 query("fdr_by", FDR.format(pv=PV, scale="(select sum(1.0::double / i) from generate_series(1, (select count(*) from p_)) g(i))"))(lambda s, d: six(signals.fdr(p_values(s, d), negative=True), "q").select("id", "q"))
 
-for _which, _key in (("to_average", "mni_to_fsavg"), ("to_mni", "fsavg_to_mni")):
-    _m = geometry.AFFINE[_which]
-    query(_key, f"with {POINTS} select id, " + ", ".join(f"round({r[0]}::double * x + {r[1]}::double * y + {r[2]}::double * z + {r[3]}::double, 6) as {c}" for c, r in zip("xyz", _m)) + " from pts")(
-        lambda s, d, w=_which: six(geometry.affine(points(s, d), w), "x", "y", "z").select("id", "x", "y", "z")
-    )
+query("mni_to_fsavg", f"""with {POINTS} select id, round(1.0022::double * x + 0.0071::double * y - 0.0177::double * z + 0.0528::double, 6) as x,
+  round(-0.0146::double * x + 0.999::double * y + 0.0027::double * z - 1.5519::double, 6) as y, round(0.0129::double * x + 0.0094::double * y + 1.0027::double * z - 1.2012::double, 6) as z from pts""")(
+    lambda s, d: six(geometry.affine(points(s, d), "to_average"), "x", "y", "z").select("id", "x", "y", "z")
+)
+query("fsavg_to_mni", f"""with {POINTS} select id, round(0.9975::double * x - 0.0073::double * y + 0.0176::double * z - 0.0429::double, 6) as x,
+  round(0.0146::double * x + 1.0009::double * y - 0.0024::double * z + 1.5496::double, 6) as y, round(-0.013::double * x - 0.0093::double * y + 0.9971::double * z + 1.184::double, 6) as z from pts""")(
+    lambda s, d: six(geometry.affine(points(s, d), "to_mni"), "x", "y", "z").select("id", "x", "y", "z")
+)
 query("parcellate_overlay", f"with {POINTS} select id, label, round(avg(x) over (partition by label), 6) as x from pts")(lambda s, d: six(geometry.parcellate(points(s, d)), "x").select("id", "label", "x"))
 
 
@@ -166,18 +169,18 @@ query("annotate_nearest_all", f"{ALL} select id, arg_min(site, (d, site)) as sit
 query("knn_idw_interpolate_all", f"{ALL}, r as (select *, row_number() over (partition by id order by d, site) as r from d) select id, round(sum(value / (d + 1e-10)) / sum(1 / (d + 1e-10)), 6) as value from r where r <= 10 and d <= 0.5 group by id")(
     lambda s, d: six(geometry.interpolate(p := points(s, d), all_sites(p), 10, 0.5, itself=False), "value").select("id", "value")
 )
-query("clean_transcript", r"select conv_id, turn, upper(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[!-&(-/:-@\[-`{-~]', '', 'g')) as transcript from conversations")(
+query("clean_transcript", r"select conv_id, turn, regexp_replace(strip_accents(upper(regexp_replace(replace(text, 'ß', 'SS'), '[!-&(-/:-@\[-`{-~]', '', 'g'))), '[^\x00-\x7F]', '', 'g') as transcript from conversations")(
     lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", features.clean_transcript(F.col("text")).alias("transcript"))
 )
-query("word_dict", "with f as (select role as token, min((conv_id, turn)) as f from conversations where role <> 'sp' group by 1) select token, row_number() over (order by f, token) as id from f")(
+query("word_dict", "with f as (select regexp_replace(role, '[0-9]', '', 'g') as token, min((conv_id, turn)) as f from conversations group by 1), w as (select token, row_number() over (order by f, token) as id from f where token <> 'sp') select token, id from w union all select token, -1 from f where token = 'sp'")(
     lambda s, d: features.word_ids(s.read.parquet(f"{d}/conversations.parquet").withColumn("token", F.col("role")), "token", "conv_id", "turn")
 )
 query("sanitize_fieldnames", "select n_nationkey, replace(replace(n_name, ' ', '_'), '-', '_') as field from nation")(lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", features.sanitize(F.col("n_name")).alias("field")))
 query("phoneme_labels", f"with {SIG}, i as (select trial_id, t as seq, label, t / 4.0::double as s, (t + 1) / 4.0::double as e from sig), w as (select trial_id, seq, label, unnest(generate_series(cast(round_even((s + 0.1) * 10, 0) as bigint), cast(round_even((e + 0.1) * 10, 0) as bigint) - 1)) as t from i) select trial_id, t, arg_max(label, seq) as label from w group by trial_id, t")(
     lambda s, d: features.label_vector(signal_events(s, d).select("trial_id", F.col("t").alias("seq"), "label", (F.col("t") / 4.0).alias("start"), ((F.col("t") + 1) / 4.0).alias("end")), 10.0, 0.1)
 )
-query("crop_by_onset", f"with {SIG}, o as (select trial_id, t as seq, t * 2.0::double as onset from sig) select trial_id, seq, round(onset - 0.5, 6) as start, round(least(coalesce(lead(onset) over (partition by trial_id order by seq) + 1, 500), 500), 6) as stop from o")(
-    lambda s, d: six(features.crop_events(signal_events(s, d).select("trial_id", F.col("t").alias("seq"), (F.col("t") * 2.0).alias("onset")), 0.5, 1.0, 500.0), "start", "stop")
+query("crop_by_onset", f"with {SIG}, o as (select trial_id, t as seq, t * 2.0::double as onset from sig) select trial_id, seq, round(case when onset - 0.5 < 0 and onset - 0.5 > -50 then 0 else onset - 0.5 end, 6) as start, round(least(coalesce(lead(onset) over (partition by trial_id order by seq) + 1, 500), 500), 6) as stop from o")(
+    lambda s, d: six(features.crop_events(signal_events(s, d).select("trial_id", F.col("t").alias("seq"), (F.col("t") * 2.0).alias("onset")), 0.5, 1.0, 500.0, 100.0), "start", "stop")
 )
 
 
