@@ -19,7 +19,8 @@ tables as sorted, packed 64-bit keys; a partition adds up and answers each block
 whole n-gram, and each block sends a key once, so that frequent words or histories crowd no partition; the number of partitions
 follows the number of keys. Sums over histories are made the same way: one block owns each distinct n-gram and adds it up.
 Answers also say which n-grams no other block has. Longer n-grams that hold such a one are in no other block either: the block counts
-them by itself, and sums over such a history by itself. From trigrams on, only the others are asked for.
+them by itself, and sums over such a history by itself. From trigrams on, only the others are asked for. Blocks aren't shuffled: where a
+block's answers arrive, it is read from its file.
 
 Defined cases: null text counts as empty, which is one token, the end. With no training text all words are unknown: N = V = 0
 and P(w) = 1. Repeated rows and null ids give one row each; a null id counts as the empty text in the fold. Other columns are not read.
@@ -27,7 +28,6 @@ and P(w) = 1. Repeated rows and null ids give one row each; a null id counts as
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -269,23 +269,36 @@ def open_requests(blocks: DataFrame, tables: list[DataFrame], partitions: int) -
     partition -1."""
     order = len(tables) + 1
 
-    def run(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
-        row = left.slice(0, 1).to_pylist()[0]
-        block = Block(row["words"], row["tokens"], row["sizes"], row["held"])
+    def run(told: pa.Table) -> pa.Table:
+        name, block = opened(told)
         for below, _, _, alone in known(block, told, order - 1):
             pass
         g = Grams(block, below)
         closed = alone[g.h] | alone[g.s]
-        rows = cut_rows(row["block"], g.keys[~closed], g.counts[~closed], partitions)
-        return request_table([*rows, (-1, row["block"], None, packed(tallied(g.counts[closed])))])
+        rows = cut_rows(name, g.keys[~closed], g.counts[~closed], partitions)
+        out = request_table([*rows, (-1, name, None, packed(tallied(g.counts[closed])))])
+        trim()
+        return out
 
-    return blocks.select("block", "words", "tokens", "sizes", "held").groupBy("block").cogroup(all_told(tables).groupBy("block")).applyInArrow(run, REQUEST)
+    return all_told(blocks, tables).groupBy("block").applyInArrow(run, REQUEST)
 
 
-def all_told(tables: list[DataFrame]) -> DataFrame:
-    """The answers of the orders from 1 on."""
+def all_told(blocks: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """The answers of the orders from 1 on, by block, and at order 0 the file that holds the block: only answers are shuffled, the block is read
+    from the shared folder where its answers arrive."""
     parts = [t.filter("block is not null").select("block", "part", "totals", F.lit(m).alias("order")) for m, t in enumerate(tables, 1)]
-    return reduce(DataFrame.unionByName, parts)
+    files = blocks.select("block", F.lit(0).alias("part"), F.input_file_name().cast("binary").alias("totals"), F.lit(0).alias("order"))
+    return reduce(DataFrame.unionByName, parts, files)
+
+
+def opened(told: pa.Table) -> tuple[str, Block]:
+    """The name of the block that these answers are for, and the block."""
+    from pyarrow import fs, parquet
+
+    row = told.filter(pa.compute.equal(told["order"], 0)).slice(0, 1).to_pylist()[0]
+    store, path = fs.FileSystem.from_uri(row["totals"].decode())
+    state = parquet.read_table(path, filesystem=store, columns=["words", "tokens", "sizes", "held"], filters=[("block", "=", row["block"])]).to_pylist()[0]
+    return row["block"], Block(**state)
 
 
 def tallied(totals: np.ndarray) -> np.ndarray:
@@ -344,9 +357,9 @@ def block_scores(blocks: DataFrame, tables: list[DataFrame], one: Unigrams, disc
     order from 2 on, partitions of its histories."""
     top = len(tables)
 
-    def run(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
-        row = left.slice(0, 1).to_pylist()[0]
-        name, block, n = row["block"], Block(row["words"], row["tokens"], row["sizes"], row["held"]), len(row["sizes"])
+    def run(told: pa.Table) -> pa.Table:
+        name, block = opened(told)
+        n = len(block.sizes)
         out: list[tuple] = []
         below_p = below_c = below_alone = below_keys = value = weights = None
         for g, c, owner, alone in known(block, told, top):
@@ -383,9 +396,11 @@ def block_scores(blocks: DataFrame, tables: list[DataFrame], one: Unigrams, disc
         out.append(("docs", None, None, name, docs, *[None] * 5))
         doc_type = pa.list_(pa.struct([("i", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
         types = [pa.string(), pa.int32(), pa.int32(), pa.string(), doc_type, *[pa.binary()] * 5]
-        return pa.table({f: pa.array(list(col), t) for f, col, t in zip(["kind", "order", "part", "block", "docs", "keys", "left", "seen", "doc", "n"], list(zip(*out)), types)})
+        made = pa.table({f: pa.array(list(col), t) for f, col, t in zip(["kind", "order", "part", "block", "docs", "keys", "left", "seen", "doc", "n"], list(zip(*out)), types)})
+        trim()
+        return made
 
-    return blocks.select("block", "words", "tokens", "sizes", "held").groupBy("block").cogroup(all_told(tables).groupBy("block")).applyInArrow(run, SCORED)
+    return all_told(blocks, tables).groupBy("block").applyInArrow(run, SCORED)
 
 
 def backoff(rows: DataFrame) -> DataFrame:
