@@ -193,8 +193,11 @@ signal("entry_discriminability", f"{CP}, g as (select cast(s.t - c.t as int) as
 
 
 def queries() -> dict[str, Query]:
+    from tessera.plans import extra  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

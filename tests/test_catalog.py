@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, extra  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
