@@ -374,12 +374,13 @@ def block_scores(blocks: DataFrame, tables: list[DataFrame], one: Unigrams, disc
             seen, c_h = c > 0, np.maximum(below_c[g.h], 1)
             kept = d.kept(c)
             mine = np.flatnonzero(owner & seen)
-            left_ = np.bincount(g.h[mine], (c[mine] - kept[mine]) / c_h[mine], len(below_c))
+            took = np.bincount(g.h[mine], c[mine] - kept[mine], len(below_c))  # few distinct values, which pack well; counts of histories go apart
+            left_ = took / np.maximum(below_c, 1)
             seen_ = np.bincount(g.h[mine], below_p[g.s[mine]], len(below_c))
             with_ = np.flatnonzero((left_ > 0) & ~below_alone)
             keys = below_keys[with_]
             cuts = cut_by_partition(keys, parts)
-            out += [("sums", g.order, i, name, None, packed_keys(keys[a:z]), packed(left_[with_[a:z]]), packed(seen_[with_[a:z]]), None, None) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+            out += [("sums", g.order, i, name, None, packed_keys(keys[a:z]), packed(took[with_[a:z]]), packed(seen_[with_[a:z]]), None, packed(below_c[with_[a:z]].astype(np.int64))) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
             p = np.where(seen, kept / c_h, 1.0)
             value[g.at] = np.where(seen[g.of], np.log10(p)[g.of], value[g.at])
             lacking = np.flatnonzero(~seen[g.of] & (below_c[g.h] > 0)[g.of])
@@ -412,7 +413,9 @@ def backoff(rows: DataFrame) -> DataFrame:
         sums = [r for r in d if r["kind"] == "sums"]
         keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked_keys(r["keys"]) for r in sums)])
         one, inverse = np.unique(keys, return_inverse=True)
-        left = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["left"], np.float64) for r in sums)]), len(one))
+        count = np.ones(len(one))
+        count[inverse] = np.concatenate([np.zeros(0, np.int64), *(unpacked(r["n"], np.int64) for r in sums)])
+        left = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["left"], np.float64) for r in sums)]), len(one)) / count
         seen = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["seen"], np.float64) for r in sums)]), len(one))
         weight = np.log10(left) - np.log10(np.maximum(1 - seen, 1e-12))
         out = []
