@@ -42,12 +42,12 @@ def test_mixed_model(spark):
     rng = np.random.default_rng(1)
     rows = []
     for s in range(5):
-        x = rng.uniform(size=(500, 2))
+        x = rng.uniform(size=(60, 2))
         rows += [(s, float(a), float(b), float(a - 2 * b + s + 0.1 * rng.normal())) for a, b in x]
     df = spark.createDataFrame(rows, "s int, a double, b double, y double")
     m = stats.MixedModel().fit(df, ["a", "b"], "y", "s")
     coef = {r.feature: r for r in m.params(df).collect()}
-    assert abs(coef["a"].coef - 1) < 0.03 and abs(coef["b"].coef + 2) < 0.03 and coef["a"].low < coef["a"].coef < coef["a"].high and coef["b"].p < 1e-6
+    assert abs(coef["a"].coef - 1) < 0.1 and abs(coef["b"].coef + 2) < 0.1 and coef["a"].low < coef["a"].coef < coef["a"].high and coef["b"].p < 1e-6
     y, x, s = np.array([r[3] for r in rows]), np.array([[1, r[1], r[2]] for r in rows]), np.array([r[0] for r in rows])
 
     def likelihood(ratio):
