@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 
 def by_time() -> WindowSpec:
     return Window.partitionBy("trial_id").orderBy("t")
@@ -132,14 +136,35 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.0001, "****").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("n.s.")
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: added up to 1000, beyond that by Euler and Maclaurin, exact to double precision, so that no row walks over m terms."""
+    added = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    x = m.cast("double")
+    return F.when(m <= 1000, added).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def fdr(df: DataFrame, p: str = "p", negative: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with q: Benjamini-Hochberg (or -Yekutieli) adjusted p within each family (columns by), a family being the hypotheses of one test."""
+    """df with q: Benjamini-Hochberg (or -Yekutieli) adjusted p within each family (columns by), a family being the hypotheses of one test.
+    A null p counts as the family's last and has q 1, as in SQL. Ranges of p are ranked apart, equal p in several of them if need be; ranges then
+    learn how many rows lie before them and the least value after them, from one row a range and family."""
+    shared_dir(df.sparkSession)
+    spread = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+    rows = df.repartitionByRange(*by, F.col(p).asc_nulls_last(), spread).withColumn("_part", F.spark_partition_id()).checkpoint()
     family = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rank, m = F.row_number().over(family.orderBy(p)), F.count("*").over(family)
-    scale = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i) if negative else F.lit(1.0)
-    raw = df.withColumn("_q", F.col(p) * m / rank * scale)
-    low = F.min("_q").over(family.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return raw.withColumn("q", F.least(low, F.lit(1.0))).drop("_q")
+    parts = family.orderBy("_part")
+    down = Window.partitionBy("_part", *by).orderBy(F.col(p).desc_nulls_first())
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.withColumnsRenamed({c: f"_f{i}" for i, c in enumerate(["_part", *by])})
+        on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(["_part", *by])])
+        return a.join(b if by else F.broadcast(b), on).drop(*[f"_f{i}" for i in range(1 + len(by))])
+
+    sizes = rows.groupBy("_part", *by).agg(F.count("*").alias("_n")).withColumn("_m", F.sum("_n").over(family)).withColumn("_upto", F.sum("_n").over(parts))
+    sizes = sizes.withColumn("_scale", harmonic(F.col("_m")) if negative else F.lit(1.0)).drop("_n")
+    raw = meet(rows, sizes).withColumn("_q", F.col(p) * F.col("_m") / (F.col("_upto") + 1 - F.row_number().over(down)) * F.col("_scale")).drop("_m", "_upto", "_scale")
+    later = raw.groupBy("_part", *by).agg(F.min("_q").alias("_least")).withColumn("_later", F.min("_least").over(family.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)))
+    low = F.min("_q").over(down.rangeBetween(Window.unboundedPreceding, 0))
+    return meet(raw, later.drop("_least")).withColumn("q", F.least(low, F.col("_later"), F.lit(1.0))).drop("_q", "_later", "_part")
 
 
 def ridge(df: DataFrame, value: str = "x", target: str = "y", alpha: float = 1.0) -> DataFrame:
