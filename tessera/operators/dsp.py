@@ -1,38 +1,71 @@
-"""Filters, filter banks and resampling: kernels on whole trials, one task a trial and channel, rows (trial_id, ch, t, x).
+"""Filters, filter banks and resampling: kernels on whole trials, one channel of a trial at a time, rows (trial_id, ch, t, x).
 
-Filters need a trial's samples together, so a task holds one channel of one trial; trials are spread over tasks. Samples are taken in
+Filters need a trial's samples together, so a task holds one channel of one trial and a batch; trials are spread over tasks. Samples are taken in
 order of t. A NaN or null sample makes the channel NaN, as a filter carries it on; an empty table stays empty."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BANDS = {"theta": (4.0, 8.0), "alpha": (8.0, 13.0), "gamma": (30.0, 70.0), "highgamma": (70.0, 150.0)}
 BLOCK = 256
+#: Rows that a batch of results has before it is sent.
+ROWS = 10_000
 
 
 def kernel(df: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """(trial_id, ch, t, and the columns of schema): f of each channel of each trial of df (trial_id, t, ch, x). Results of the same length keep
-    their t, others are numbered from 0."""
+    their t, others are numbered from 0. Python gets batches of sorted rows, each of many trials, rather than a stream for each trial; a trial that
+    goes on in the next batch waits for its end."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in ("trial_id", "ch")}
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("t")
+    def table(t: pa.Table, spans: list[tuple[int, int]], outs: list[dict[str, np.ndarray]]) -> list[pa.RecordBatch]:
+        lengths = [len(o[names[0]]) for o in outs]
+        first = pa.array(np.repeat([i for i, _ in spans], lengths))
+        at = pa.chunked_array([part for (i, j), n in zip(spans, lengths) for part in (t.column("t").slice(i, j - i).chunks if n == j - i else [pa.array(np.arange(n), pa.int64())])], pa.int64())
+        columns = [t.column("trial_id").take(first), t.column("ch").take(first), at, *(pa.array(np.concatenate([np.asarray(o[k], np.float64) for o in outs])) for k in names)]
+        return pa.table(columns, names=["trial_id", "ch", "t", *names]).combine_chunks().to_batches()
+
+    def whole(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(pieces)
         x = t.column("x").to_numpy().astype(np.float64)
-        out = f(x)
-        n = len(next(iter(out.values())))
-        at = t.column("t") if n == len(x) else pa.array(np.arange(n), pa.int64())
-        first = pa.array(np.zeros(n, np.int64))
-        return pa.table([t.column("trial_id").take(first), t.column("ch").take(first), at, *(pa.array(np.asarray(out[k], np.float64)) for k in names)], names=["trial_id", "ch", "t", *names])
+        edges = [*np.flatnonzero(t.column("_r").to_numpy() == 1).tolist(), len(x)]
+        spans, outs, rows = [], [], 0
+        for i, j in pairwise(edges):
+            spans.append((i, j))
+            outs.append(f(x[i:j]))
+            rows += len(outs[-1][names[0]])
+            if rows >= ROWS:
+                yield from table(t, spans, outs)
+                spans, outs, rows = [], [], 0
+        if outs:
+            yield from table(t, spans, outs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            starts = np.flatnonzero(b.column("_r").to_numpy() == 1)
+            if len(starts):
+                cut = int(starts[-1])
+                if held or cut:
+                    yield from whole([*held, b.slice(0, cut)])
+                held, b = [], b.slice(cut)
+            held.append(b)
+        if held:
+            yield from whole(held)
 
     rows = df.select("trial_id", "ch", F.col("t").cast("long").alias("t"), F.coalesce(F.col("x").cast("double"), F.lit(float("nan"))).alias("x"))
-    return rows.groupBy("trial_id", "ch").applyInArrow(run, f"trial_id {kinds['trial_id']}, ch {kinds['ch']}, t long, {schema}")
+    order = F.col("t").asc_nulls_last()
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("trial_id", "ch").orderBy(order)))  # brings trials together; 1 begins one
+    return numbered.sortWithinPartitions("trial_id", "ch", order).mapInArrow(run, f"trial_id {kinds['trial_id']}, ch {kinds['ch']}, t long, {schema}")
 
 
 def butter(order: int, band: float | list[float], kind: str, fs: float) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +95,11 @@ def butter(order: int, band: float | list[float], kind: str, fs: float) -> tuple
     return k * np.real(np.poly(z)), np.real(np.poly((4 + p) / (4 - p)))
 
 
-def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """The recursive filter from a state (transposed direct form), block by block as products with its response matrices."""
-    n = max(len(a), len(b)) - 1
-    b, a = (np.pad(c, (0, n + 1 - len(c))) for c in (b, a))
+@lru_cache(maxsize=16)
+def responses(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """Of a recursive filter (coefficients of equal number), over a block: what the state gives, what drives the state, the state's step over the block,
+    and the matrix of the impulse response."""
+    b, a, n = np.array(b), np.array(a), len(a) - 1
     step = np.diag(np.ones(n - 1), 1)
     step[:, 0] -= a[1:]
     into = b[1:] - a[1:] * b[0]
@@ -73,7 +107,23 @@ def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> n
     for i in range(BLOCK):
         free[i], drive[i], m = m[0], m @ into, step @ m
     h = np.concatenate([[b[0]], drive[: BLOCK - 1, 0]])
-    toeplitz = np.tril(h[np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK)).clip(0)])
+    return free, drive, m, np.tril(h[np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK)).clip(0)])
+
+
+@lru_cache(maxsize=16)
+def resting(b: tuple[float, ...], a: tuple[float, ...]) -> np.ndarray:
+    """The steady state of a recursive filter on ones."""
+    n = max(len(a), len(b)) - 1
+    b, a = np.array(b), np.array(a)
+    step = np.diag(np.ones(n - 1), 1)
+    step[:, 0] -= a[1:]
+    return np.linalg.solve(np.eye(n) - step, b[1:] - a[1:] * b[0])
+
+
+def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The recursive filter from a state (transposed direct form), block by block as products with its response matrices."""
+    n = max(len(a), len(b)) - 1
+    free, drive, m, toeplitz = responses(*((*map(float, c), *[0.0] * (n + 1 - len(c))) for c in (b, a)))
     out = np.empty(len(x))
     for at in range(0, len(x), BLOCK):
         u = x[at : at + BLOCK]
@@ -89,10 +139,7 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     pad = 3 * max(len(a), len(b))
     if len(x) <= pad:
         raise ValueError(f"a trial must have more than {pad} samples")
-    n = max(len(a), len(b)) - 1
-    step = np.diag(np.ones(n - 1), 1)
-    step[:, 0] -= a[1:]
-    rest = np.linalg.solve(np.eye(n) - step, b[1:] - a[1:] * b[0])
+    rest = resting(tuple(map(float, b)), tuple(map(float, a)))
     y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     y = lfilter(b, a, y, rest * y[0])
     y = lfilter(b, a, y[::-1], rest * y[-1])[::-1]
