@@ -85,7 +85,7 @@ def local_reference(channels: DataFrame, extent: int = 1) -> DataFrame:
 def common_reference(df: DataFrame, channels: DataFrame, kind: str = "avg") -> DataFrame:
     """(trial_id, t, ch, x) less the mean (or median) of the channels on the same contact at that time, itself among them."""
     stem, _ = contacts(F.col("name"))
-    named = df.join(channels.select("ch", stem.alias("_stem")), "ch")
+    named = df.join(F.broadcast(channels.select("ch", stem.alias("_stem"))), "ch")  # one row a channel
     f = F.avg if kind == "avg" else F.median
     return named.withColumn("x", F.col("x") - f("x").over(Window.partitionBy("trial_id", "t", "_stem"))).drop("_stem")
 
