@@ -34,6 +34,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +44,6 @@ from tessera.llm.common import crc_mod, drop, lean_alone, settle, table, trim, u
 
 K = 7
 BLOCK_TOKENS, PARTITION_KEYS = 2_000_000, 2_000_000
-CACHED = 400_000
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b"\r", b"\n"))  # no word holds white space
 
 
@@ -76,6 +76,43 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def ranking(keys: np.ndarray) -> np.ndarray:
+    """The stable argsort of unsigned 64-bit keys. Their leading bits are sorted together with their places, as numbers, which takes a fraction of
+    the time; what those bits leave open is settled by a sort of what is almost sorted."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    x, places = keys - keys.min(), (len(keys) - 1).bit_length()
+    cut = max(0, int(x.max()).bit_length() + places - 64)
+    x >>= np.uint64(cut)
+    x <<= np.uint64(places)
+    x |= np.arange(len(x), dtype=np.uint64)
+    x.sort()
+    x &= np.uint64((1 << places) - 1)
+    order = x.view(np.int64)
+    if cut:
+        ranked = keys[order]
+        if (ranked[1:] < ranked[:-1]).any():
+            order = order[np.argsort(ranked, kind="stable")]
+    return order
+
+
+def firsts(ranked: np.ndarray) -> np.ndarray:
+    """Where another value begins among sorted ones."""
+    out = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=out[1:])
+    return out
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique(keys, return_inverse=True)."""
+    order = ranking(keys)
+    ranked = keys[order]
+    first = firsts(ranked)
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(first, dtype=np.int32) - 1
+    return ranked[first], inverse
+
+
 def cut_by_partition(sorted_keys: np.ndarray, n: int) -> np.ndarray:
     """Borders of the n ranges of 64-bit keys."""
     edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
@@ -113,6 +150,39 @@ class Unigrams:
         return np.where(c > 0, self.discounts.kept(c) / max(1, self.total), self.unseen)
 
 
+def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' hashes (the start's and the end's first); each text as numbers of them, one text after the other, with its start and end; its number of
+    tokens, which are its words (ASCII letters in lower case, parted by ASCII white space) and its end."""
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts))
+    bounds = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    raw = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    words, codes = coded.dictionary.cast(raw).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    if b"" in words:  # beside white space at the ends
+        keep = codes != words.index(b"")
+        bounds, codes = np.concatenate([[0], np.cumsum(keep)])[bounds - bounds[0]], codes[keep]
+    sizes = np.diff(bounds) + 1
+    ends = np.cumsum(sizes + 1)
+    out, inner = np.empty(len(codes) + 2 * len(sizes), np.int32), np.ones(len(codes) + 2 * len(sizes), bool)
+    out[ends - 1], out[ends - sizes - 1] = 1, 0
+    inner[ends - 1] = inner[ends - sizes - 1] = False
+    out[inner] = codes + 2
+    return np.concatenate([np.array([START, END], np.uint64), hashes]), out, sizes.astype(np.int32)
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of several tokenised() as one: the hashes of their words in order, numbers of them, sizes."""
+    words, number = numbered(np.concatenate([h for h, _, _ in parts]))
+    begins = np.cumsum([0, *(len(h) for h, _, _ in parts)])
+    tokens = np.concatenate([number[begin : begin + len(h)][c] for begin, (h, c, _) in zip(begins, parts)])
+    used = np.zeros(len(words), bool)
+    used[tokens] = True
+    if not used.all():  # the batch had texts for another block too
+        tokens = (np.cumsum(used, dtype=np.int32) - 1)[tokens]
+    return words[used], tokens, np.concatenate([s for _, _, s in parts])
+
+
 BLOCK = "block string, n_words long, n_pairs long, n_tokens long, words binary, tokens binary, sizes array<int>, held array<boolean>"
 
 
@@ -125,36 +195,32 @@ def blocks_of(df: DataFrame, id_col: str, text_col: str, held: Column, block_tok
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memory: dict[bytes, int] = {}
-        one, at, seq = xxhash.xxh3_64_intdigest, TaskContext.get().partitionId(), 0
+        at, seq = TaskContext.get().partitionId(), 0
         ids, held, parts, total = [], [], [], 0
 
         def block(key_type: pa.DataType) -> pa.RecordBatch:
             nonlocal seq
-            words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-            tokens = tokens.astype(np.int64)
-            pairs = len(np.unique((tokens[:-1] * len(words) + tokens[1:]))) if len(tokens) > 1 else 0
+            words, tokens, sizes = joined(parts)
+            pairs = np.sort(tokens[:-1].astype(np.int64) * len(words) + tokens[1:])
             seq += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{at}-{seq}"]), pa.array([len(words)]), pa.array([pairs]), pa.array([total]), pa.array([packed_keys(words)]), pa.array([packed(tokens.astype(np.int32))]), pa.array([[len(p) - 1 for p in parts]], pa.list_(pa.int32())), pa.array([held], pa.list_(pa.bool_())), pa.array([ids], pa.list_(key_type))],
+                [pa.array([f"{at}-{seq}"]), pa.array([len(words)]), pa.array([int(firsts(pairs).sum())]), pa.array([total]), pa.array([packed_keys(words)]), pa.array([packed(tokens)]), pa.array([sizes], pa.list_(pa.int32())), pa.array([held], pa.list_(pa.bool_())), pa.array([ids], pa.list_(key_type))],
                 ["block", "n_words", "n_pairs", "n_tokens", "words", "tokens", "sizes", "held", "ids"],
             )
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for key, text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                if len(memory) > CACHED:
-                    memory.clear()
-                if new := set(words).difference(memory):
-                    memory.update((w, one(w)) for w in new)
-                x = np.empty(len(words) + 2, np.uint64)
-                x[0], x[-1] = START, END
-                x[1:-1] = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-                ids.append(key)
-                held.append(h)
-                parts.append(x)
-                total += len(words) + 1
+            keys, hold = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            hashes, codes, sizes = tokenised(batch.column(1))
+            ends, i = np.cumsum(sizes), 0
+            while i < len(keys):
+                done = int(ends[i - 1]) if i else 0
+                z = min(len(keys), int(np.searchsorted(ends, done + block_tokens - total)) + 1)  # the text that fills the block is its last
+                parts.append((hashes, codes[done + i : int(ends[z - 1]) + z], sizes[i:z]))  # each text has a start besides
+                ids += keys[i:z]
+                held += hold[i:z]
+                total += int(ends[z - 1]) - done
+                i = z
                 if total >= block_tokens:
                     yield block(key_type)
                     ids, held, parts, total = [], [], [], 0
@@ -177,11 +243,11 @@ class Grams:
             h, s, n = of[self.at - 1], of[self.at], len(below.keys)
         else:
             self.at, h, s, n = np.arange(len(block.w), dtype=np.int32), block.h, block.w, len(block.words)
-        code, inverse = np.unique(h.astype(np.int64) * n + s, return_inverse=True)
+        code, inverse = numbered(h.astype(np.uint64) * np.uint64(n) + s.astype(np.uint64))
         h, s = (code // n).astype(np.int32), (code % n).astype(np.int32)
         last = below.last[s] if below else s
         keys = pair_keys((below.keys if below else block.words)[h], block.words[last])
-        order = np.argsort(keys, kind="stable")
+        order = ranking(keys)
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
         self.of = back[inverse]
@@ -324,9 +390,9 @@ def answers(asked: DataFrame) -> DataFrame:
         sizes = np.array([len(k) for k in keys])
         flat = np.concatenate(keys)
         del keys
-        order = np.argsort(flat, kind="stable")
+        order = ranking(flat)
         ranked = flat[order]
-        first = np.r_[True, ranked[1:] != ranked[:-1]]
+        first = firsts(ranked)
         totals = np.add.reduceat(counts[order], np.flatnonzero(first))
         stats = tallied(totals[ranked[first] != np.uint64(START)]).tolist()
         code = np.empty(len(flat), np.int64)
@@ -412,7 +478,7 @@ def backoff(rows: DataFrame) -> DataFrame:
         d = t.select(["kind", "block", "keys", "left", "seen", "doc", "n"]).to_pylist()
         sums = [r for r in d if r["kind"] == "sums"]
         keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked_keys(r["keys"]) for r in sums)])
-        one, inverse = np.unique(keys, return_inverse=True)
+        one, inverse = numbered(keys)
         count = np.ones(len(one))
         count[inverse] = np.concatenate([np.zeros(0, np.int64), *(unpacked(r["n"], np.int64) for r in sums)])
         left = np.bincount(inverse, np.concatenate([np.zeros(0), *(unpacked(r["left"], np.float64) for r in sums)]), len(one)) / count

@@ -1,10 +1,13 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import katz
@@ -141,3 +144,75 @@ def test_production_uses_two_words_of_context(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     two = katz.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.expr(katz.crc_mod("doc_id", 7) + " = 2")).agg(F.sum("score")).first()[0]
     assert katz.op6(spark, str(tmp_path)).agg(F.sum("score")).first()[0] > two + 1
+
+
+def cpu(f):
+    """CPU seconds of the best of three runs."""
+    out = []
+    for _ in range(3):
+        began = time.process_time()
+        f()
+        out.append(time.process_time() - began)
+    return min(out)
+
+
+@pytest.fixture
+def make_blocks(spark, monkeypatch):
+    """blocks_of() in this process: (ids, texts, block_tokens, rows of a batch) to the rows of its blocks."""
+    df = spark.createDataFrame([], "doc_id long, text string, held_out boolean")
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+
+    def make(ids, texts, block_tokens, rows):
+        with monkeypatch.context() as m:
+            m.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+            run = katz.blocks_of(df, "doc_id", "text", F.col("held_out"), block_tokens)
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + rows], pa.int64()), pa.array(texts[i : i + rows], pa.string()), pa.array([k % 7 == 2 for k in ids[i : i + rows]])], ["id", "text", "held"]) for i in range(0, len(ids), rows)]
+        return [r for b in run(iter(batches)) for r in b.to_pylist()]
+
+    return make
+
+
+@pytest.mark.parametrize("tokens,rows", [(50, 7), (50, 1000), (1, 3), (100_000, 5)])
+def test_blocks_hold_the_words_of_their_texts(make_blocks, tokens, rows):
+    odd = ["", " ", "\n", "  A\tb\x0b\x0cB\r\n c ", "é É ÀÉ", "\x1c x\x1d", "a\x85b \xa0c", "x" * 3000, "\0 \0a", "a " * 200]
+    texts = [t or "" for _, t in corpus(80)] + odd + [""] * 3
+    left = list(enumerate(texts))
+    for b in make_blocks(list(range(len(texts))), texts, tokens, rows):
+        mine = []
+        while left and sum(len(words(t)) for _, t in mine) < tokens:  # the text that fills a block is its last
+            mine.append(left.pop(0))
+        assert b["ids"] == [i for i, _ in mine] and b["held"] == [i % 7 == 2 for i, _ in mine] and b["sizes"] == [len(words(t)) for _, t in mine]
+        x = [h for _, t in mine for h in (katz.START, *(xxhash.xxh3_64_intdigest(w) for w in words(t)))]
+        w = katz.unpacked_keys(b["words"])
+        assert w.tolist() == sorted(set(x)) and w[katz.unpacked(b["tokens"], np.int32)].tolist() == x
+        assert (b["n_words"], b["n_pairs"], b["n_tokens"]) == (len(w), len(set(zip(x, x[1:]))), sum(b["sizes"]))
+    assert not left
+
+
+def test_cpu_of_blocks(make_blocks):
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in r.zipf(1.15, 500) % 200_000) for _ in range(1200)]
+    split = cpu(lambda: [t.encode().lower().split() for t in texts])
+    assert cpu(lambda: make_blocks(list(range(len(texts))), texts, 10**9, 100)) < 10 * split
+
+
+def test_cpu_of_ranking():
+    keys = np.random.default_rng(5).integers(0, 2**64, 1_000_000, np.uint64)
+    assert cpu(lambda: katz.ranking(keys)) < 0.7 * cpu(lambda: np.argsort(keys, kind="stable"))
+
+
+@pytest.mark.parametrize("case", range(7))
+def test_ranking_is_the_stable_argsort(case):
+    r = np.random.default_rng(case)
+    keys = [
+        lambda: r.integers(0, 2**64, 100_000, np.uint64),
+        lambda: r.integers(2**63, 2**63 + 2**50, 100_000, np.uint64),
+        lambda: r.integers(0, 2**64, 500, np.uint64)[r.integers(0, 500, 30_000)],
+        lambda: r.integers(0, 2**10, 50_000, np.uint64) << np.uint64(54) | r.integers(0, 2**6, 50_000, np.uint64),  # alike in their leading bits
+        lambda: np.array([2**64 - 1, 0, 2**64 - 1, 1, 0], np.uint64),
+        lambda: np.full(9, 2**64 - 1, np.uint64),
+        lambda: np.zeros(0, np.uint64),
+    ][case]()
+    assert (katz.ranking(keys) == np.argsort(keys, kind="stable")).all()
+    for got, want in zip(katz.numbered(keys), np.unique(keys, return_inverse=True)):
+        assert (got == want).all()
