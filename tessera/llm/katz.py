@@ -23,7 +23,8 @@ them by itself, and sums over such a history by itself. From trigrams on, only t
 block's answers arrive, it is read from its file.
 
 Defined cases: null text counts as empty, which is one token, the end. With no training text all words are unknown: N = V = 0
-and P(w) = 1. Repeated rows and null ids give one row each; a null id counts as the empty text in the fold. Other columns are not read.
+and P(w) = 1. Words are bytes, valid UTF-8 or not. Repeated rows and null ids give one row each; a null id counts as the empty text in the
+fold. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -189,6 +189,19 @@ def test_blocks_hold_the_words_of_their_texts(make_blocks, tokens, rows):
     assert not left
 
 
+@pytest.mark.parametrize("large", ["false", "true"])
+def test_words_are_bytes_valid_or_not(spark, large):
+    before = spark.conf.get("spark.sql.execution.arrow.useLargeVarTypes")
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", large)
+    try:
+        df = spark.sql("select id as doc_id, if(id % 2 = 0, cast(X'ff2041fe20' as string), 'b c') as text from range(20)")
+        got = {r.doc_id: r for r in katz.scored(df, F.lit(False), order=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", before)
+    assert len(got) == 20 and all((r.n_tokens, r.n_known, r.train_tokens) == (3, 3, 60) for r in got.values())
+    assert math.isclose(got[0].score, got[1].score) and math.isclose(got[0].base_score, got[1].base_score)
+
+
 def test_cpu_of_blocks(make_blocks):
     r = np.random.default_rng(5)
     texts = [" ".join(f"w{i}" for i in r.zipf(1.15, 500) % 200_000) for _ in range(1200)]
